@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .consolidate import kmer_groups
+from .mixing import Target, mix_shares, mix_sources
+from .packing import container_bound, pack_items
 from .shared_spans import record_letters, shared_amounts, shared_spans
+from .tokens import token_counts
 from .top_items import top_items
 
 SHARED_LENGTH = 64
@@ -45,7 +50,53 @@ def p5_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.groupBy("records").agg(F.count("*").alias("groups"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p5_found, p5_group_sizes)}
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    capacities = {r["pack_id"]: r["capacity_tokens"] for r in _table(spark, folder, "pack_sizes").collect()}  # a fixed few rows
+    sizes = token_counts(_table(spark, folder, "documents"), "doc_id", "text")
+    return pack_items(sizes, "doc_id", "tokens", capacities)
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every text with its container and the container's unused room."""
+    return _packed(spark, folder)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity: containers, the bound that no packing can go below, and unused tokens."""
+    capacities = {r["pack_id"]: r["capacity_tokens"] for r in _table(spark, folder, "pack_sizes").collect()}
+    pieces = _packed(spark, folder)
+    boxes = pieces.groupBy("pack_id", "container_id").agg(F.first("unused_tokens").alias("unused"))
+    made = boxes.groupBy("pack_id").agg(F.count("*").alias("containers"), F.sum("unused").alias("unused_tokens"))
+    # at most one row for each size up to the capacity
+    sizes = pieces.groupBy("pack_id", "piece_tokens").agg(F.count("*").alias("n"))
+
+    def bound(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        number = np.repeat(pdf["piece_tokens"].to_numpy(), pdf["n"].to_numpy())
+        return pd.DataFrame({"pack_id": [keys[0]], "at_least": [container_bound(number, capacities[keys[0]])]})
+
+    return made.join(sizes.groupBy("pack_id").applyInPandas(bound, "pack_id int, at_least bigint"), "pack_id")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    targets = _table(spark, folder, "mix_targets")
+    wanted = {r["source"].strip().lower(): Target(r["target_share"], r["max_repeats"]) for r in targets.collect()}  # a row for each source
+    documents = _table(spark, folder, "documents")
+    sizes = token_counts(documents, "doc_id", "text")
+    texts = documents.select("doc_id", "text", "source").join(sizes, "doc_id")
+    return mix_sources(texts, wanted, "doc_id", "text", "source", "tokens"), targets
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen texts of each source with their tokens and repeats."""
+    return _mixed(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's target and actual share of all tokens."""
+    return mix_shares(*_mixed(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p5_found, p5_group_sizes, p6_pieces, p6_fill, p7_mix, p7_shares)}
 
 _SPANS = """
 v as (select distinct seq_id id, upper(replace(sequencedata, '-', '')) s from sequences where seq_id is not null and sequencedata is not null
