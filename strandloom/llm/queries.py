@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .consolidate import kmer_groups
 from .mixing import Target, mix_shares, mix_sources
 from .packing import container_bound, pack_items
+from .personal import find_personal, mask_personal
 from .shared_spans import record_letters, shared_amounts, shared_spans
 from .tokens import token_counts
 from .top_items import top_items
@@ -96,7 +97,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_shares(*_mixed(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p5_found, p5_group_sizes, p6_pieces, p6_fill, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal(_table(spark, folder, "documents"), _table(spark, folder, "name_parts"))
+
+
+def p8_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts with typed placeholders in place of personal items."""
+    return mask_personal(_table(spark, folder, "documents"), _table(spark, folder, "name_parts"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_amounts, p4_found, p5_found, p5_group_sizes, p6_pieces, p6_fill, p7_mix, p7_shares, p8_found, p8_masked)}
 
 _SPANS = """
 v as (select distinct seq_id id, upper(replace(sequencedata, '-', '')) s from sequences where seq_id is not null and sequencedata is not null
