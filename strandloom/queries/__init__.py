@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import problems
+from . import problems, reference
 
-_MODULES = (problems,)
+_MODULES = (problems, reference)
 
 
 def all_queries() -> dict[str, Callable]:
