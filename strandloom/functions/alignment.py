@@ -34,8 +34,8 @@ _BLOSUM62 = """
 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
 """
 GAP_OPEN, GAP_EXTEND = 11, 1
-#: Pairs that are aligned together, and letters beyond which pairs go one by one.
-BATCH = 512
+#: Pairs that are aligned together.
+BATCH = 256
 
 
 def blosum62() -> dict[tuple[str, str], int]:
@@ -82,61 +82,45 @@ def _codes(texts: list[str]) -> np.ndarray:
 def align_batch(a: list[str], b: list[str], table: np.ndarray, local: bool, gap_open: int, gap_extend: int) -> np.ndarray:
     """Best scores with the equal, different, inserted and deleted letters of one best alignment of each pair (n x 5).
 
-    Gotoh's recursion runs over the cells of all pairs at once and carries the counts along. A gap of n letters
-    costs open + n x extend. Of equally good moves a pair comes before a deletion, a deletion before an insertion.
+    Gotoh's recursion, a row of all pairs at a time. A cell's number holds its score and, in lower digits, the counts
+    of the alignment that leads to it, so that one comparison settles both: of equally good alignments the one with
+    most equal, then most different, inserted and deleted letters wins. A gap of n letters costs open + n x extend.
     """
     n, x, y = len(a), _codes(a), _codes(b)
     la, lb = np.array([len(t) for t in a]), np.array([len(t) for t in b])
-    low = -(1 << 28)
-    first = gap_open + gap_extend
-
-    def state(score: int) -> np.ndarray:
-        s = np.zeros((n, 5), np.int32)
-        s[:, 0] = score
-        return s
-
-    def better(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return np.where((q[:, :1] > p[:, :1]), q, p)
-
-    def moved(s: np.ndarray, cost: int, column: int) -> np.ndarray:
-        t = s.copy()
-        t[:, 0] -= cost
-        t[:, column] += 1
-        return t
-
-    best = state(0 if local else low)
-    row, ups = [], []
-    for j in range(y.shape[1] + 1):
-        s = state(0)
-        if not local and j:
-            s[:, 0], s[:, 4] = -(gap_open + gap_extend * j), j
-        row.append(s)
-        ups.append(state(low))
+    wide = max(x.shape[1], y.shape[1]) > 2000
+    bits, kind = (40, object) if wide else (11, np.int64)
+    unit, equal, different, insert, delete = (1 << (4 * bits)), (1 << (3 * bits)), (1 << (2 * bits)), (1 << bits), 1
+    scores = table.astype(kind) * unit + different
+    scores[np.arange(128), np.arange(128)] += equal - different
+    places = np.arange(y.shape[1] + 1).astype(kind)
+    along = -gap_extend * unit + delete
+    low = -(1 << 17) * unit
+    row = np.zeros((n, y.shape[1] + 1), kind)
     if not local:
-        best = np.where((la == 0)[:, None], np.stack(row)[lb, np.arange(n)], best)
+        row[:, 1:] = places[1:] * along - gap_open * unit
+    up = np.full_like(row, low)
+    best = row[np.arange(n), lb] if not local else row[:, 0].copy()
     for i in range(1, x.shape[1] + 1):
-        left, corner = state(low), row[0]
-        s = state(0)
-        if not local:
-            s[:, 0], s[:, 3] = -(gap_open + gap_extend * i), i
-        row[0] = s
-        for j in range(1, y.shape[1] + 1):
-            up = better(moved(row[j], first, 3), moved(ups[j], gap_extend, 3))
-            left = better(moved(row[j - 1], first, 4), moved(left, gap_extend, 4))
-            cell = corner.copy()
-            cell[:, 0] += table[x[:, i - 1], y[:, j - 1]]
-            same = x[:, i - 1] == y[:, j - 1]
-            cell[:, 1] += same
-            cell[:, 2] += ~same
-            cell = better(better(cell, left), up)
-            if local:
-                cell = better(state(0), cell)
-            corner, row[j], ups[j] = row[j], cell, up
-            if local:
-                best = np.where(((i <= la) & (j <= lb))[:, None], better(best, cell), best)
-        if not local:
-            best = np.where((la == i)[:, None], np.stack(row)[lb, np.arange(n)], best)
-    return best
+        up = np.maximum(row - gap_open * unit, up) - gap_extend * unit + insert
+        cell = np.empty_like(row)
+        cell[:, 1:] = np.maximum(row[:, :-1] + scores[x[:, i - 1][:, None], y], up[:, 1:])
+        cell[:, 0] = up[:, 0]
+        if local:
+            cell = np.maximum(cell, 0)
+        run = np.maximum.accumulate(cell - places * along, axis=1)
+        cell[:, 1:] = np.maximum(cell[:, 1:], run[:, :-1] + places[1:] * along - gap_open * unit)
+        row = cell
+        if local:
+            best = np.maximum(best, np.where(i <= la, row.max(axis=1), 0))
+        else:
+            best = np.where(i == la, row[np.arange(n), lb], best)
+    out = np.zeros((n, 5), np.int64)
+    for j in range(4, 0, -1):
+        out[:, j] = (best % (1 << bits)).astype(np.int64)
+        best = best // (1 << bits)
+    out[:, 0] = best.astype(np.int64)
+    return out
 
 
 _RESULT = "score int, matches int, mismatches int, insertions int, deletions int"

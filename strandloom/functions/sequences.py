@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,10 +50,16 @@ def letters(sequence: Column) -> Column:
 
 def nongap_runs(sequence: Column) -> Column:
     """Runs of letters between gaps as an array of (first, last), counted from 1, the last run included."""
-    cells = letters(sequence)
-    firsts = F.filter(F.transform(cells, lambda c, i: F.when((c != GAP) & ((i == 0) | (F.get(cells, i - 1) == GAP)), i + 1)), F.isnotnull)
-    lasts = F.filter(F.transform(cells, lambda c, i: F.when((c != GAP) & ((i == F.size(cells) - 1) | (F.get(cells, i + 1) == GAP)), i + 1)), F.isnotnull)
-    return F.arrays_zip(firsts.alias("first"), lasts.alias("last"))
+    pieces = F.regexp_extract_all(sequence, F.lit("-+|[^-]+"), F.lit(0))
+    kind = "struct<at:int,runs:array<struct<first:int,last:int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("runs")).cast(kind)
+
+    def step(acc: Column, piece: Column) -> Column:
+        run = F.struct((acc["at"] + 1).alias("first"), (acc["at"] + F.length(piece)).alias("last"))
+        runs = F.when(F.startswith(piece, F.lit(GAP)), acc["runs"]).otherwise(F.concat(acc["runs"], F.array(run)))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), runs.alias("runs")).cast(kind)
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["runs"])
 
 
 def padded(piece: Column, first: Column, last: Column, width: Column) -> Column:
@@ -84,7 +92,20 @@ def translated(sequence: Column, frame: int = 1, code: str = STANDARD_CODE) -> C
     strand = F.translate(F.upper(ungapped(sequence)), "U", "T")
     strand = reverse_complement(strand) if frame < 0 else strand
     shift = abs(frame) - 1
-    codons = F.regexp_extract_all(F.substr(strand, F.lit(shift + 1)), F.lit("(?s)..."), F.lit(0))
-    place = lambda c, i: F.instr(F.lit(BASES), F.substr(c, F.lit(i), F.lit(1)))
-    amino = lambda c: F.when(c.rlike("^[TCAG]{3}$"), F.substr(F.lit(code), place(c, 1) * 16 + place(c, 2) * 4 + place(c, 3) - 20, F.lit(1))).otherwise("X")
-    return F.array_join(F.transform(codons, amino), "")
+    place = np.full(256, 64, np.int16)
+    place[[ord(c) for c in BASES]] = range(4)
+    amino = np.frombuffer((code + "X").encode(), np.uint8)
+
+    @F.pandas_udf("string")
+    def translate(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            if text is None:
+                out.append(None)
+                continue
+            v = place[np.frombuffer(text.encode("ascii", "replace"), np.uint8)][shift:]
+            v = v[: len(v) // 3 * 3].reshape(-1, 3)
+            out.append(amino[np.minimum(v[:, 0] * 16 + v[:, 1] * 4 + v[:, 2], 64)].tobytes().decode())
+        return pd.Series(out, dtype=object)
+
+    return translate(strand)

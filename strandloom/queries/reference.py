@@ -432,7 +432,7 @@ def score_alignment(t):
           select seq_id, frame, subjectid, (b.i - q.i)::int diagonal, count(*) seeds from q join b using (w) where regexp_full_match(w, '[ACDEFGHIKLMNPQRSTVWY]*') group by all""")
 def seed_join(t):
     frames = search.translated_frames(t("sequences"), "seq_id", "sequencedata").distinct()
-    return search.seed_diagonals(frames, t("markers"))
+    return search.seed_diagonals(frames, t("markers")).drop("first_seed", "last_seed")
 
 
 @query()
