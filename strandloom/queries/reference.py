@@ -14,6 +14,8 @@ from ..functions import sequences as seq
 from ..functions.alignment import aligned_pair, pair_scores
 from ..functions.intervals import Interval, codon, full_to_subject
 from ..operators import cluster, features, hits, sampling, search, stats, stitch
+from ..plans.markers import retrieve_markers as plan
+from ..streaming.hits import hits_by_day as by_day
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -564,3 +566,17 @@ def smallest_per_species(t):
 def combine_markers(t):
     rows = t("hits").filter("subjectid is not null and queryid is not null")
     return rows.groupBy(ids.sequence_part(F.col("subjectid")).alias("marker")).agg(F.countDistinct(ids.otu_part(F.col("queryid"))).alias("species"), F.count("*").alias("hits"))
+
+
+# ---- whole jobs
+
+@query()
+def retrieve_markers(t):
+    """Statistics of the whole marker job: filter, rank, resolve, mask, trim, stitch, summarise."""
+    return plan(t("hits"), t("markers")).statistics
+
+
+@query("select date_trunc('day', searched_at) as \"day\", count(*) hits, count(*) filter (where isfinite(bitscore)) usable, max(bitscore) filter (where isfinite(bitscore)) best from hits group by 1")
+def hits_by_day(t):
+    """The streaming aggregation over the whole table as one batch."""
+    return by_day(t("hits")).withColumn("day", F.col("day").cast("timestamp_ntz"))
