@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,11 +94,16 @@ def route(volumes: dict[tuple[str, ...], int], targets: dict[str, Target], wante
     return low, build(low)[2]
 
 
+def fingerprint(text: str) -> Column:
+    """128 bits that stand for a text; null for a null text."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def mix_sources(texts: DataFrame, targets: dict[str, Target], key: str, text: str, source: str, tokens: str, wanted: int | None = None, seed: int = 0) -> DataFrame:
     """Choose texts so that sources reach their shares of all tokens: columns source, key, tokens, repeats.
 
     A row says that the text of the document ``key`` (the smallest one that holds it in that source) is used
-    ``repeats`` times for that source. Equal texts are one text, which may belong to several sources; it is used at
+    ``repeats`` times for that source. ``text`` is the column of the texts' fingerprints. Equal texts are one text, which may belong to several sources; it is used at
     most as often, in all, as each of them allows. Rows without text or tokens, and rows of sources without a
     target, are not used; the spelling of ``source`` counts without case and outer white space. The choice depends
     on ``seed`` and the texts alone.
@@ -109,7 +114,7 @@ def mix_sources(texts: DataFrame, targets: dict[str, Target], key: str, text: st
     """
     ws = Workspace(texts.sparkSession, "mixing")
     name = F.lower(F.regexp_replace(source, r"^\s+|\s+$", ""))
-    rows = texts.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("_t"), name.alias("_src"), F.col(key).alias("_key"), F.col(tokens).alias("_n"))
+    rows = texts.select(F.col(text).alias("_t"), name.alias("_src"), F.col(key).alias("_key"), F.col(tokens).alias("_n"))
     rows = rows.filter(F.col("_src").isin(list(targets)) & (F.col("_n") > 0) & F.col("_t").isNotNull())
     held = rows.groupBy("_t", "_src").agg(F.min("_key").alias("_key"), F.max("_n").alias("_n"))
     one = held.groupBy("_t").agg(F.sort_array(F.collect_list(F.struct("_src", "_key"))).alias("_in"), F.max("_n").alias("_n"))

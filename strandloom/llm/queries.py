@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .consolidate import kmer_groups
-from .mixing import Target, mix_shares, mix_sources
+from .mixing import Target, fingerprint, mix_shares, mix_sources
 from .packing import container_bound, pack_items
 from .personal import find_personal, mask_personal
 from .shared_spans import record_letters, shared_amounts, shared_spans
@@ -53,7 +53,7 @@ def p5_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     capacities = {r["pack_id"]: r["capacity_tokens"] for r in _table(spark, folder, "pack_sizes").collect()}  # a fixed few rows
-    sizes = token_counts(_table(spark, folder, "documents"), "doc_id", "text")
+    sizes = token_counts(_table(spark, folder, "documents"), "text", ["doc_id"])
     return pack_items(sizes, "doc_id", "tokens", capacities)
 
 
@@ -81,10 +81,9 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     targets = _table(spark, folder, "mix_targets")
     wanted = {r["source"].strip().lower(): Target(r["target_share"], r["max_repeats"]) for r in targets.collect()}  # a row for each source
-    documents = _table(spark, folder, "documents")
-    sizes = token_counts(documents, "doc_id", "text")
-    texts = documents.select("doc_id", "text", "source").join(sizes, "doc_id")
-    return mix_sources(texts, wanted, "doc_id", "text", "source", "tokens"), targets
+    documents = _table(spark, folder, "documents").withColumn("print", fingerprint("text"))
+    sizes = token_counts(documents, "text", ["doc_id", "source", "print"])
+    return mix_sources(sizes, wanted, "doc_id", "print", "source", "tokens"), targets
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Ranks of a public byte-level BPE; another file of the same form may be named instead.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,12 +31,12 @@ def _encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Tokens of each row's whole text: columns key (bigint), tokens (bigint); null and empty texts have 0.
+def token_counts(documents: DataFrame, text: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
+    """Tokens of each row's whole text: the columns ``keep`` and tokens (bigint); null and empty texts have 0.
 
     ``tokenizer`` is a file of byte-level BPE ranks that every executor can read. Texts are counted in parts that
     no token crosses, and a task counts a part that it has seen before only once (revisions of a page share most
-    of their lines). One row comes out for each row that goes in.
+    of their lines). One row comes out for each row that goes in; the texts themselves go no further.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +44,7 @@ def token_counts(documents: DataFrame, key: str, text: str, tokenizer: str = TOK
         known: dict[str, int] = {}
         for batch in batches:
             totals = []
-            for value in batch.column(1):
+            for value in batch.column(0):
                 total = 0
                 for part in _PART.split(value.as_py() or ""):
                     n = known.get(part)
@@ -53,6 +54,7 @@ def token_counts(documents: DataFrame, key: str, text: str, tokenizer: str = TOK
                 totals.append(total)
                 if len(known) > REMEMBER:
                     known.clear()
-            yield pa.record_batch([batch.column(0), pa.array(totals, pa.int64())], names=["key", "tokens"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(totals, pa.int64())], names=[*keep, "tokens"])
 
-    return documents.select(F.col(key).cast("bigint").alias("key"), text).mapInArrow(count, "key bigint, tokens bigint").withColumnRenamed("key", key)
+    rows = documents.select(F.col(text).alias("_text"), *keep)
+    return rows.mapInArrow(count, StructType([*rows.schema.fields[1:], StructField("tokens", LongType())]))
