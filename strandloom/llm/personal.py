@@ -17,7 +17,7 @@ from ..session import Workspace
 
 KINDS = ("email", "phone", "idnum", "address", "name")
 #: Candidates that the span classifier is trained on; counts and reliabilities come from all candidates.
-SAMPLE = 20_000
+SAMPLE = 5_000
 WIDTH = 1 << 12
 #: Lines whose candidates a task remembers; they are forgotten together when there are more.
 REMEMBER = 200_000
@@ -99,8 +99,12 @@ _STARTS = re.compile(
 _ENDS = re.compile(r"(?i)[ \xa0](?:lives at|from class|is an? )|'s (?:pass|ni|ssn|dni|tax|social|identity|personal|n°)")
 _NEVER = re.compile(r"(?i)^(?:[ \xa0]?\(-?\d+\.\d+|,[ \xa0]\d{4}\b|[ \xa0]index\b|–\w|\]\]|\|)")
 _PLACE = {"bridge", "ridge", "bay", "glacier", "street", "road", "lane", "close", "avenue", "crescent", "river", "lake", "hill", "mount", "island", "park", "index", "user", "talk", "category", "bot"}
-#: Labels that may stand right before a name or number but belong to neither.
-_LABELS = {"dr", "mr", "mrs", "ms", "prof", "hi", "haha", "holder", "inhaber", "titular", "signed", "the", "tel", "phone", "lost", "curator", "source", "quelle", "frau", "herr"}
+#: Labels and first words of sentences that may stand beside a name but belong to none.
+_LABELS = {
+    "dr", "mr", "mrs", "ms", "prof", "hi", "haha", "holder", "inhaber", "titular", "titulaire", "signed", "the", "tel", "phone", "lost", "curator", "source", "quelle", "frau",
+    "herr", "please", "you", "ich", "vivo", "écrire", "escribir", "bitte", "erreichbar", "contact", "contacto", "call", "lives", "at", "my", "email", "see", "revision",
+    "accession", "catalogue", "isbn", "population",
+}
 
 
 @dataclass(frozen=True)
@@ -362,7 +366,7 @@ def _candidate(line: str, kind: int, first: int, last: int, votes: list[int], ma
 
 def _pack_votes(votes: list[int]) -> int:
     packed = 0
-    for v in reversed(votes):
+    for v in reversed(votes + [0] * (6 - len(votes))):
         packed = packed * 3 + v + 1
     return packed
 
@@ -409,31 +413,34 @@ def _extractor(known: Gazetteer) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+#: Expected shares of the votes -1, 0 and 1 for an item and for anything else; they weigh as much as this part of the candidates.
+_EXPECTED = (np.array([0.05, 0.45, 0.5]), np.array([0.45, 0.5, 0.05]))
+_EXPECTED_WEIGHT = 0.2
+
+
 def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:
     """The chance that a candidate is an item, for every (kind, votes), by expectation-maximisation over all candidates.
 
     Each labeller has, for items and for others, its own chances of voting 1, -1 or 0; these and the share of items
-    are estimated in turn with the chances of the vote patterns. Labellers count as independent given the truth.
+    are estimated in turn with the chances of the vote patterns. Labellers count as independent given the truth, and
+    as better than guessing to begin with, so that two spellings of an item are not taken for item and other.
     """
     out = {}
     for kind in {k for k, _ in counts}:
         patterns = [v for k, v in counts if k == kind]
         n = np.array([counts[kind, v] for v in patterns], float)
         votes = np.stack([_unpack_votes(v) for v in patterns]) + 1
+        yes0, no0 = (e * (_EXPECTED_WEIGHT * n.sum() + 2) for e in _EXPECTED)
         belief = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(axis=1)))
         for _ in range(rounds):
-            prior = np.clip((n * belief).sum() / n.sum(), 0.02, 0.98)
+            prior = ((n * belief).sum() + 2) / (n.sum() + 4)
             score = np.full(len(n), np.log(prior / (1 - prior)))
             for j in range(votes.shape[1]):
                 seen = np.eye(3)[votes[:, j]]
-                yes = (seen * (n * belief)[:, None]).sum(axis=0) + 0.5
-                no = (seen * (n * (1 - belief))[:, None]).sum(axis=0) + 0.5
+                yes = (seen * (n * belief)[:, None]).sum(axis=0) + yes0
+                no = (seen * (n * (1 - belief))[:, None]).sum(axis=0) + no0
                 score += np.log(yes / yes.sum())[votes[:, j]] - np.log(no / no.sum())[votes[:, j]]
             belief = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        # the better half of the votes names the items
-        strength = (votes - 1).sum(axis=1)
-        if (n * belief * strength).sum() * (n * (1 - belief)).sum() < (n * (1 - belief) * strength).sum() * (n * belief).sum():
-            belief = 1 - belief
         out |= {(kind, v): float(b) for v, b in zip(patterns, belief, strict=True)}
     return out
 
