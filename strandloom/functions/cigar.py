@@ -69,3 +69,22 @@ def gap_excluded_identity(matches: Column, mismatches: Column, digits: int = 2)
 def percentage(part: Column, whole: Column, digits: int = 1) -> Column:
     """100 x part / whole, half to even; 0 where the whole is not above 0."""
     return F.when(whole <= 0, 0.0).otherwise(F.bround(100 * part / whole, digits))
+
+
+def repaired(nucleotides: Column, cigar: Column) -> Column:
+    """The letters of a nucleotide segment that an alignment reads, frame shifts applied.
+
+    Sizes of plain operations count codons. A forward shift skips letters, a backward shift steps back; deletions
+    take nothing; every other operation takes three letters for each codon.
+    """
+    parts = F.transform(F.regexp_extract_all(cigar, F.lit(r"\d+[MIDNSHP=X\\/]"), F.lit(0)), lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.substr(p, F.lit(1), F.length(p) - 1).cast("int").alias("n")))
+    kind = "struct<at:int,out:string>"
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out")).cast(kind)
+
+    def step(acc: Column, p: Column) -> Column:
+        taken = F.when(p["op"].isin("\\", "/", "D", "N"), 0).otherwise(p["n"] * 3)
+        moved = F.when(p["op"] == "\\", p["n"]).when(p["op"] == "/", -p["n"]).otherwise(taken)
+        piece = F.when(taken > 0, F.substr(nucleotides, F.greatest(acc["at"], F.lit(1)), taken)).otherwise("")
+        return F.struct((acc["at"] + moved).alias("at"), F.concat(acc["out"], piece).alias("out")).cast(kind)
+
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])

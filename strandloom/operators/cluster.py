@@ -68,12 +68,13 @@ def kmer_centers(index: DataFrame) -> DataFrame:
     return pairs.filter("center <> msaindex").select("center", F.col("msaindex").alias("member")).distinct()
 
 
-def gap_free_identity(pairs: DataFrame, records: DataFrame, index: str, sequence: str) -> DataFrame:
-    """The best share of equal letters of center and member laid upon each other without gaps: center, member, identity.
+def gap_free_matches(pairs: DataFrame, records: DataFrame, index: str, sequence: str, least: float = IDENTITY) -> DataFrame:
+    """Pairs whose sequences, laid upon each other without gaps, agree in at least ``least`` of the shorter one's letters.
 
-    Every shift of the shorter sequence against the longer one's first letters of that length counts; the share
-    is of the shorter one's letters, so overhanging letters count as different. Pairs with a record that is
-    missing or empty have no row. Records are looked up by ``index``; of several the smallest sequence counts.
+    Columns center, member, identity (of the first best shift). The first letters of both, as many as the shorter one
+    has, are compared at every shift that leaves enough letters opposite each other to reach ``least``; overhanging
+    letters count as different. Pairs with a record that is missing or empty are no match. Records are looked up by
+    ``index``; of several the smallest sequence counts.
     """
     one = records.filter(F.col(index).isNotNull() & F.col(sequence).isNotNull()).groupBy(F.col(index).alias("_i")).agg(F.min(F.upper(sequence)).alias("_s")).filter("_s <> ''")
     both = pairs.join(one.select(F.col("_i").alias("center"), F.col("_s").alias("a")), "center").join(one.select(F.col("_i").alias("member"), F.col("_s").alias("b")), "member")
@@ -86,13 +87,21 @@ def gap_free_identity(pairs: DataFrame, records: DataFrame, index: str, sequence
                 x, y = (np.frombuffer(t.encode("ascii", "replace"), np.uint8)[:n] for t in (a, b))
                 best = int((x == y).sum())
                 for shift in range(1, n):
-                    if n - shift <= best:
+                    if n - shift <= best or n - shift < least * n:
                         break
                     best = max(best, int((x[shift:] == y[: n - shift]).sum()), int((y[shift:] == x[: n - shift]).sum()))
                 out.append(best / n)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["center", "member", "identity"])
 
-    return both.select("center", "member", "a", "b").mapInArrow(measure, "center bigint, member bigint, identity double")
+    found = both.select("center", "member", "a", "b").mapInArrow(measure, "center bigint, member bigint, identity double")
+    return found.filter(F.col("identity") >= least)
+
+
+def cluster_reads(records: DataFrame, index: str, sequence: str, k: int = K, m: int = M, least: float = IDENTITY) -> DataFrame:
+    """The whole clustering: k-mers, centers, gap-free comparison, greedy cover. Gives record and removed_by for all records that match another."""
+    ws = Workspace(records.sparkSession, "clusters")
+    pairs = ws.save(kmer_centers(kmer_table(records, index, sequence, k, m)))
+    return greedy_cover(ws.save(gap_free_matches(pairs, records, index, sequence, least).select("center", "member")))
 
 
 def greedy_cover(pairs: DataFrame) -> DataFrame:

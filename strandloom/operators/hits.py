@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sequences import canonical
+from ..functions import cigar as cig
+from ..functions.sequences import canonical, reverse_complement, translated
 from .skew import heavy_keys, lookup_join
 
 
@@ -83,3 +84,17 @@ def dedup_canonical(records: DataFrame, sequence: str, order: list[str]) -> Data
 def dedup_ids(records: DataFrame, identifier: str, order: list[str]) -> DataFrame:
     """One record for each identifier: the first in ``order``; null identifiers are dropped."""
     return first_of(records.filter(F.col(identifier).isNotNull()), [identifier], [F.asc(c) for c in order])
+
+
+def repaired_hits(hits: DataFrame) -> DataFrame:
+    """Hits on the strand they are read on, frame shifts repaired: hit_id, nucleotides, protein, shifts.
+
+    The segment between the query coordinates, reverse-complemented where they run backwards, is read as the cigar
+    says and translated in its first frame. Hits without query, cigar or coordinates from 1 on are left out.
+    """
+    first, last = F.col("querystart"), F.col("queryend")
+    usable = hits.filter(F.col("full_querysequence").isNotNull() & F.col("cigar").isNotNull() & (first >= 1) & (last >= 1))
+    segment = F.substr("full_querysequence", F.least(first, last), F.abs(last - first) + 1)
+    read = usable.select("hit_id", "cigar", F.when(first > last, reverse_complement(segment)).otherwise(segment).alias("_s"))
+    mended = read.select("hit_id", cig.repaired(F.col("_s"), F.col("cigar")).alias("nucleotides"), cig.shifts(F.col("cigar")).alias("shifts"))
+    return mended.select("hit_id", "nucleotides", translated(F.col("nucleotides")).alias("protein"), "shifts")

@@ -163,6 +163,26 @@ def cigar_counts(t):
     return t("hits").filter(c.isNotNull()).select("hit_id", cig.aligned(c).alias("aligned"), cig.deleted(c).alias("deleted"), cig.inserted(c).alias("inserted"), F.round(cig.occupancy(c), 6).alias("occupancy"))
 
 
+@query(r"""with h as (select hit_id, cigar, case when querystart > queryend
+            then reverse(translate(substr(full_querysequence, least(querystart, queryend), abs(queryend - querystart) + 1), 'ACGTURYSWKMBDHVNacgturyswkmbdhvn', 'TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn'))
+            else substr(full_querysequence, least(querystart, queryend), abs(queryend - querystart) + 1) end s,
+            regexp_extract_all(cigar, '\d+[MIDNSHP=X\\/]') o from hits where full_querysequence is not null and cigar is not null and querystart >= 1 and queryend >= 1),
+          p as (select hit_id, cigar, s, i, right(o[i], 1) op, left(o[i], length(o[i]) - 1)::int n from h, generate_series(1, len(o)) g(i)),
+          c as (select *, case when op in ('\', '/', 'D', 'N') then 0 else 3 * n end taken, 1 + coalesce(sum(case op when '\' then n when '/' then -n when 'D' then 0 when 'N' then 0 else 3 * n end)
+            over (partition by hit_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint pos from p),
+          r as (select hit_id, string_agg(case when taken > 0 then substr(s, greatest(pos, 1), taken) else '' end, '' order by i) nucleotides, count(*) filter (where op in ('\', '/')) shifts from c group by hit_id)
+          select hit_id, coalesce(nucleotides, '') nucleotides, coalesce(shifts, 0)::int shifts from h left join r using (hit_id)""")
+def frameshift_repair(t):
+    return hits.repaired_hits(t("hits")).select("hit_id", "nucleotides", "shifts")
+
+
+@query()
+def patched_translation(t):
+    """How far the repaired and translated segment agrees with the reported protein."""
+    rows = hits.repaired_hits(t("hits")).join(t("hits").select("hit_id", F.regexp_replace("translated_querysequence", "-", "").alias("reported")), "hit_id")
+    return rows.select("hit_id", "protein", (F.col("protein") == F.col("reported")).alias("same"))
+
+
 # ---- intervals
 
 _SPANS = """v as (select distinct subjectid, least(subjectstart, subjectend) f, greatest(subjectstart, subjectend) l from hits where subjectid is not null and subjectstart >= 1 and subjectend >= 1),
@@ -469,11 +489,15 @@ def kmer_centers(t):
     return cluster.kmer_centers(t("kmer_index"))
 
 
-@query()
+@query(f"""with {_CENTERS}, z as (select msaindex, min(upper(sequencedata)) s from sequences where msaindex is not null and sequencedata is not null group by 1 having min(upper(sequencedata)) <> ''),
+          p as (select center, member, a.s[:least(length(a.s), length(b.s))] x, b.s[:least(length(a.s), length(b.s))] y, least(length(a.s), length(b.s)) n from e join z a on a.msaindex = center join z b on b.msaindex = member),
+          d as (select *, unnest(range(-(n // 20), n // 20 + 1)) k from p),
+          i as (select center, member, n, k, (select count(*) from generate_series(1, n) g(j) where substr(x, j + k, 1) = substr(y, j, 1) and j + k between 1 and n) m from d)
+          select center, member, round(max(m) / n, 6)::double identity from i group by center, member, n having max(m) >= 0.95 * n""")
 def gapfree_identity(t):
-    """Gap-free identity of each center with its members."""
+    """Centers and members that agree without gaps in at least 95 % of their letters."""
     pairs = cluster.kmer_centers(t("kmer_index"))
-    return cluster.gap_free_identity(pairs, t("sequences"), "msaindex", "sequencedata").withColumn("identity", F.round("identity", 6))
+    return cluster.gap_free_matches(pairs, t("sequences"), "msaindex", "sequencedata").withColumn("identity", F.round("identity", 6))
 
 
 @query()
@@ -482,6 +506,12 @@ def cluster_cover(t):
     return cluster.greedy_cover(cluster.kmer_centers(t("kmer_index")))
 
 
+@query()
+def cluster_reads(t):
+    """The whole clustering of the contigs: k-mers, centers, comparison, cover."""
+    return cluster.cluster_reads(t("sequences"), "msaindex", "sequencedata")
+
+
 # ---- features
 
 _ID = "select distinct id from features where id is not null"
@@ -494,6 +524,13 @@ def gff_attributes(t):
     return rows.select("feature_no", features.attribute_text(rows).alias("attributes"))
 
 
+@query()
+def gff_lines(t):
+    """Records as lines of text, missing fields as '.'."""
+    rows = t("features")
+    return rows.select("feature_no", features.record_text(rows).alias("line"))
+
+
 @query("""select feature_no, id is not null and id <> '' has_id, len(parent)::int parents from features""")
 def gff_round_trip(t):
     """Attributes written as text and parsed again."""

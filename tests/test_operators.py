@@ -63,8 +63,13 @@ def test_clusters(spark, few_heavy):
     pairs = cluster.kmer_centers(table)
     found = {tuple(r) for r in pairs.collect()}
     assert {(1, 2), (1, 3)} <= found and not any(4 in p for p in found)
-    same = {(r[0], r[1]): r[2] for r in cluster.gap_free_identity(pairs, reads, "i", "s").collect()}
+    same = {(r[0], r[1]): r[2] for r in cluster.gap_free_matches(pairs, reads, "i", "s", 0.9).collect()}
     assert same[1, 3] == 1.0 and same[1, 2] == pytest.approx(17 / 18)
+    assert (1, 2) not in {(r[0], r[1]) for r in cluster.gap_free_matches(pairs, reads, "i", "s").collect()}
+    shifted = spark.createDataFrame([(1, "ACGTTGCAAC" * 6), (2, "G" + "ACGTTGCAAC" * 6)], "i bigint, s string")
+    one = spark.createDataFrame([(1, 2), (1, 9)], "center bigint, member bigint")
+    assert [r[2] for r in cluster.gap_free_matches(one, shifted, "i", "s").collect()] == [pytest.approx(59 / 60)]
+    assert {tuple(r) for r in cluster.cluster_reads(reads, "i", "s", least=0.9).collect()} >= {(1, None), (3, 1)}
 
 
 @pytest.mark.parametrize("seed", range(3))
