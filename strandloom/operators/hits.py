@@ -86,6 +86,12 @@ def dedup_ids(records: DataFrame, identifier: str, order: list[str]) -> DataFram
     return first_of(records.filter(F.col(identifier).isNotNull()), [identifier], [F.asc(c) for c in order])
 
 
+def combined(records: DataFrame, identifier: str, sequence: str) -> DataFrame:
+    """Pooled records, each sequence (or its reverse complement) and each identifier once, the first in the order of sequence and identifier."""
+    once = dedup_canonical(records, sequence, [sequence, identifier])
+    return dedup_ids(once, identifier, [sequence])
+
+
 def repaired_hits(hits: DataFrame) -> DataFrame:
     """Hits on the strand they are read on, frame shifts repaired: hit_id, nucleotides, protein, shifts.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cig
+from ..functions.intervals import codon
 from .hits import finite
 
 #: Residues that masking removes unless told otherwise.
@@ -19,11 +20,12 @@ AMBIGUOUS = "BJZX"
 
 
 def aligned_positions(hits: DataFrame) -> DataFrame:
-    """Every hit position by position: subjectid, pos, hit_id, bitscore, residue.
+    """Every hit position by position: subjectid, pos, hit_id, bitscore, residue, query_pos.
 
-    Insertions have no position; deletions have residue '-'; residues beyond a sequence that is too short are '-'.
-    Hits count if subject, sequence, cigar and coordinates are given, coordinates are at least 1 and the bitscore
-    is finite. Coordinates may stand in either order.
+    Insertions have no position; deletions have residue '-' and the query_pos before them (0 if there is none);
+    residues beyond a sequence that is too short are '-'. query_pos counts the aligned query from 1. Hits count if
+    subject, sequence, cigar and coordinates are given, coordinates are at least 1 and the bitscore is finite.
+    Coordinates may stand in either order.
     """
     start, end = F.col("subjectstart"), F.col("subjectend")
     usable = hits.filter(
@@ -34,10 +36,29 @@ def aligned_positions(hits: DataFrame) -> DataFrame:
     pieces = F.transform("_ops", lambda o, i: F.struct(o["op"].alias("op"), o["size"].alias("size"), before(i, on_reference).alias("r"), before(i, on_query).alias("q")))
     each = usable.select("subjectid", "hit_id", "bitscore", "_f", "_l", "_q", F.explode(pieces).alias("_o")).filter(F.col("_o.op").isin(*on_reference) & (F.col("_o.size") > 0))
     each = each.select("*", F.explode(F.sequence(F.lit(0), F.col("_o.size") - 1)).alias("_k"))
-    letter = F.substr("_q", F.col("_o.q") + F.col("_k") + 1, F.lit(1))
-    residue = F.when(F.col("_o.op").isin(*cig.DELETED) | (letter == ""), "-").otherwise(letter)
+    gap = F.col("_o.op").isin(*cig.DELETED)
+    on_aligned = F.when(gap, F.col("_o.q")).otherwise(F.col("_o.q") + F.col("_k") + 1)
+    letter = F.substr("_q", on_aligned, F.lit(1))
+    residue = F.when(gap | (letter == ""), "-").otherwise(letter)
     pos = F.col("_f") + F.col("_o.r") + F.col("_k")
-    return each.select("subjectid", pos.alias("pos"), "hit_id", "bitscore", residue.alias("residue"), "_l").filter(F.col("pos") <= F.col("_l")).drop("_l")
+    return each.select("subjectid", pos.alias("pos"), "hit_id", "bitscore", residue.alias("residue"), on_aligned.alias("query_pos"), "_l").filter(F.col("pos") <= F.col("_l")).drop("_l")
+
+
+def aligned_text(hits: DataFrame) -> DataFrame:
+    """Each hit's residues along the reference, insertions masked: hit_id, first_pos, residues. A row is as long as its hit."""
+    cells = aligned_positions(hits).groupBy("hit_id").agg(F.min("pos").alias("first_pos"), F.sort_array(F.collect_list(F.struct("pos", "residue"))).alias("_c"))
+    return cells.select("hit_id", "first_pos", F.array_join(F.transform("_c", lambda c: c["residue"]), "").alias("residues"))
+
+
+def coordinate_table(hits: DataFrame) -> DataFrame:
+    """Subject positions of each hit with the aligned query position and the codon in the whole query.
+
+    Columns hit_id, pos, query_pos, codon_first, codon_last; codons run backwards where the query coordinates do.
+    Deleted positions have the codon of the query position before them, null if there is none.
+    """
+    each = aligned_positions(hits).select("hit_id", "pos", "query_pos").join(hits.select("hit_id", "querystart", "queryend"), "hit_id")
+    c = codon(F.when(F.col("query_pos") > 0, F.col("query_pos")), F.col("querystart"), F.col("queryend"))
+    return each.select("hit_id", "pos", "query_pos", c.first.alias("codon_first"), c.last.alias("codon_last"))
 
 
 def resolve_positions(hits: DataFrame) -> DataFrame:
@@ -58,6 +79,15 @@ def resolved_regions(won: DataFrame) -> DataFrame:
     return runs.groupBy("subjectid", "hit_id", "_run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")).drop("_run")
 
 
+def region_sequences(won: DataFrame) -> DataFrame:
+    """The slice that each region keeps of its hit: subjectid, hit_id, first_pos, last_pos, residues. Rows are as long as their region."""
+    order = W.partitionBy("subjectid", "hit_id").orderBy("pos")
+    runs = won.withColumn("_run", F.col("pos") - F.row_number().over(order))
+    cells = runs.groupBy("subjectid", "hit_id", "_run").agg(F.sort_array(F.collect_list(F.struct("pos", "residue"))).alias("_c"))
+    text = F.array_join(F.transform("_c", lambda c: c["residue"]), "")
+    return cells.select("subjectid", "hit_id", F.col("_c")[0]["pos"].alias("first_pos"), F.element_at("_c", -1)["pos"].alias("last_pos"), text.alias("residues"))
+
+
 def with_reference(won: DataFrame, markers: DataFrame) -> DataFrame:
     """Winners beside the reference's residue at their position: adds ref_residue and reference_len.
 

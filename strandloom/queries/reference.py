@@ -281,6 +281,23 @@ def dedup_ids(t):
     return hits.dedup_ids(t("sequences"), "seq_id", ["loaded_at", "sequencedata"]).select("seq_id", "loaded_at", F.length("sequencedata").alias("n"))
 
 
+@query("select translated_querysequence, hit_id from (select *, row_number() over (partition by translated_querysequence order by percentidentical desc, hit_id) r from hits where translated_querysequence is not null) where r = 1")
+def unique_sequences(t):
+    """The hit with the best identity among those of equal sequence."""
+    rows = t("hits").filter("translated_querysequence is not null").select("translated_querysequence", "hit_id", "percentidentical")
+    return hits.first_of(rows, ["translated_querysequence"], [F.desc("percentidentical"), F.asc("hit_id")]).select("translated_querysequence", "hit_id")
+
+
+@query(f"with {_CANONICAL}, o as (select * from (select *, row_number() over (partition by canon order by sequencedata, seq_id) r from y) where r = 1) select seq_id, sequencedata from (select *, row_number() over (partition by seq_id order by sequencedata) q from o) where q = 1")
+def combined_records(t):
+    return hits.combined(t("sequences").filter("seq_id is not null").select("seq_id", "sequencedata"), "seq_id", "sequencedata")
+
+
+@query("select seq_id, loaded_at, row_number() over (order by sequencedata nulls first, seq_id, loaded_at) place from sequences")
+def sort_permutation(t):
+    return sampling.numbered(t("sequences").select("seq_id", "loaded_at", "sequencedata"), ["sequencedata", "seq_id", "loaded_at"]).drop("sequencedata")
+
+
 @query("select seq_id record_id, 'contig' kind from sequences where seq_id is not null union select subjectid, 'reference' from markers where subjectid is not null")
 def pooled_records(t):
     a = t("sequences").filter("seq_id is not null").select(F.col("seq_id").alias("record_id"), F.lit("contig").alias("kind"))
@@ -428,6 +445,24 @@ def marker_yield(t):
     return out.join(t("markers").agg(F.countDistinct("subjectid").alias("markers_in"))).withColumn("percent", cig.percentage(F.col("markers_out"), F.col("markers_in")))
 
 
+@query(f"with {_WON} select subjectid, hit_id, min(pos)::int first_pos, max(pos)::int last_pos, string_agg(residue, '' order by pos) residues from (select *, pos - row_number() over (partition by subjectid, hit_id order by pos) g from won) group by subjectid, hit_id, g")
+def region_sequences(t):
+    return stitch.region_sequences(stitch.resolve_positions(t("hits")))
+
+
+@query(f"with {_WON} select hit_id, min(pos)::int first_pos, string_agg(residue, '' order by pos) residues from a where pos <= l group by hit_id")
+def mask_insertions(t):
+    return stitch.aligned_text(t("hits"))
+
+
+@query(f"""with {_WON}, m as (select a.hit_id, pos, case when op in ('D', 'N') then k else k + j + 1 end query_pos from (select hit_id, f + r + j pos, op, k, j, l from s, generate_series(0, n - 1) g(j) where op in ('M', '=', 'X', 'D', 'N')) a where pos <= l),
+          c as (select m.*, querystart a, queryend b from m join hits using (hit_id))
+          select hit_id, pos::int pos, query_pos::int query_pos, case when query_pos > 0 then case when a > b then a - 3 * (query_pos - 1) else a + 3 * (query_pos - 1) end end::int codon_first,
+          case when query_pos > 0 then case when a > b then a - 3 * (query_pos - 1) - 2 else a + 3 * (query_pos - 1) + 2 end end::int codon_last from c""")
+def coordinate_table(t):
+    return stitch.coordinate_table(t("hits"))
+
+
 # ---- alignment and search
 
 @query()

@@ -27,6 +27,12 @@ def write_fasta(records: DataFrame, path: str, identifier: str, sequence: str, b
     (writer.partitionBy(by) if by else writer).text(path)
 
 
+def write_chunks(records: DataFrame, path: str, identifier: str, sequence: str, per_file: int = 1_000_000, overwrite: bool = False) -> None:
+    """FASTA files of at most ``per_file`` records each."""
+    rows = records.select(fasta_text(F.col(identifier), F.col(sequence)).alias("value"))
+    rows.write.mode(_mode(overwrite)).option("maxRecordsPerFile", per_file).text(path)
+
+
 def write_hits(hits: DataFrame, path: str, omit: tuple[str, ...] = (), header: bool = False, by: str | None = None, overwrite: bool = False) -> None:
     """Hits as tab-separated text without some columns."""
     writer = hits.drop(*omit).write.mode(_mode(overwrite))
