@@ -66,7 +66,7 @@ _FLAT = r"(?:flat|apt\.?|apartment|unit|suite|appt\.?|whg\.?|wohnung)[ \xa0]\d+[
 _PROPER = rf"{_L}[\w'’\-]*"
 _TOWN = rf"(?:,[ \xa0](?:\d{{5}}[ \xa0])?(?P<town>{_PROPER})(?:[ \xa0](?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?[ \xa0]\d[A-Z]{{2}}|\d{{5}})(?!\w))?)?"
 _ADDRESS = [
-    (re.compile(rf"(?i)(?<![\w.,])(?:{_FLAT},[ \xa0])?{_HOUSE}[ \xa0](?P<street>(?:{_PROPER}[ \xa0]){{1,3}}?(?:street|st\.|st|road|rd\.?|lane|ln\.?|close|avenue|ave|av|crescent|cres\.?|drive|dr\.?|court|way|terrace|square|place))(?!\w)(?:,[ \xa0]{_FLAT})?{_TOWN}"), "en"),
+    (re.compile(rf"(?i)(?<![\w.,])(?:{_FLAT},[ \xa0])?{_HOUSE}[ \xa0](?P<street>(?:{_PROPER}[ \xa0]){{1,3}}?(?:street|st\.|st|road|lane|close|avenue|crescent|drive|court|way|terrace|square|place|(?:rd|ln|ave|av|cres|dr)(?:\.(?=[,;]))?))(?!\w)(?:,[ \xa0]{_FLAT})?{_TOWN}"), "en"),
     (re.compile(rf"(?i)(?<![\w.,]){_HOUSE},?[ \xa0](?P<street>(?:rue|bd\.?|boulevard|avenue|av\.|place|chemin|allée|impasse|quai)[ \xa0](?:(?:de|du|des|la|le)[ \xa0]|d['’])*{_PROPER})(?:,[ \xa0]{_FLAT})?{_TOWN}"), "fr"),
     (re.compile(rf"(?i)(?<![\w.,])(?P<street>(?:c/|calle|avda\.?|avenida|plaza|pza\.?|paseo|camino)[ \xa0](?:(?:de|del|la|las|los)[ \xa0])*{_PROPER}),?[ \xa0]{_HOUSE}(?!\w)(?:,[ \xa0]\d{{1,2}}\.?[ºª°][ \xa0]?{_L}(?!\w))?{_TOWN}"), "es"),
     (re.compile(rf"(?i)(?<![\w.,])(?P<street>{_PROPER}(?:straße|strasse|str\.|weg|allee|gasse|platz|damm|ufer)|{_PROPER}[ \xa0](?:straße|strasse|weg|allee|platz)|(?:am|an der|auf der|auf dem|zum|zur|beim)[ \xa0]{_PROPER})[ \xa0]{_HOUSE}(?!\w)(?:,[ \xa0]{_FLAT})?{_TOWN}"), "de"),
