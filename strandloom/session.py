@@ -49,7 +49,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self._saved: dict[int, tuple[DataFrame, str]] = {}  # the table is held, so that its id() stays its own
         self._count = 0
         atexit.register(self._delete, self.root)
 
@@ -58,13 +58,12 @@ class Workspace:
         self._count += 1
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(table)] = path
-        table._strandloom_workspace = self  # keeps id() unique while the table lives
+        self._saved[id(table)] = (table, path)
         return table
 
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
-            path = self._paths.pop(id(table), None)
+            _, path = self._saved.pop(id(table), (None, None))
             if path:
                 self._delete(path)
 
