@@ -550,16 +550,18 @@ def cluster_reads(t):
 # ---- features
 
 _ID = "select distinct id from features where id is not null"
+_ATTRIBUTES = """concat_ws(';', 'ID=' || id, 'Name=' || feature_name, 'Alias=' || array_to_string(alias_list, ','), 'Parent=' || array_to_string(parent, ','), 'Target=' || target, 'Gap=' || gap,
+          'Derives_from=' || derivesfrom, 'Note=' || note, 'Dbxref=' || array_to_string(dbcrossreference, ','), 'Ontology_term=' || array_to_string(ontologyterm, ','), 'Is_circular=' || iscircular::varchar)"""
 
 
-@query("""select feature_no, concat_ws(';', 'ID=' || id, 'Name=' || feature_name, 'Alias=' || array_to_string(alias_list, ','), 'Parent=' || array_to_string(parent, ','), 'Target=' || target, 'Gap=' || gap,
-          'Derives_from=' || derivesfrom, 'Note=' || note, 'Dbxref=' || array_to_string(dbcrossreference, ','), 'Ontology_term=' || array_to_string(ontologyterm, ','), 'Is_circular=' || iscircular::varchar) attributes from features""")
+@query(f"select feature_no, {_ATTRIBUTES} attributes from features")
 def gff_attributes(t):
     rows = t("features")
     return rows.select("feature_no", features.attribute_text(rows).alias("attributes"))
 
 
-@query()
+@query(f"""select feature_no, concat_ws(chr(9), coalesce(seqid, '.'), coalesce(source, '.'), coalesce(ftype, '.'), coalesce(start_::varchar, '.'), coalesce(end_::varchar, '.'),
+          coalesce(case when isnan(score) then 'NaN' else score::varchar end, '.'), coalesce(strand, '.'), coalesce(phase, '.'), {_ATTRIBUTES}) line from features""")
 def gff_lines(t):
     """Records as lines of text, missing fields as '.'."""
     rows = t("features")
