@@ -109,13 +109,22 @@ def _order(values: np.ndarray, level: int) -> np.ndarray:
     return h
 
 
+def _first_in_window(order: np.ndarray, size: int) -> np.ndarray:
+    """For each window of ``size`` numbers the place of its smallest one (the leftmost of equals), by doubling windows."""
+    best, place, done = order, np.arange(len(order)), 1
+    while done < size:
+        step = min(done, size - done)
+        n = len(best) - step
+        later = best[step:] < best[:n]
+        best, place, done = np.where(later, best[step:], best[:n]), np.where(later, place[step:], place[:n]), done + step
+    return place
+
+
 def _representatives(values: np.ndarray, level: int, length: int, starts: np.ndarray) -> np.ndarray:
     """For each start the position of the window of ``level`` letters that represents the window of ``length``."""
-    if level == length:
+    if level == length or not len(starts):
         return starts
-    order = _order(values, level)
-    views = np.lib.stride_tricks.sliding_window_view(order, length - level + 1)
-    return starts + views[starts].argmin(axis=1)
+    return _first_in_window(_order(values, level), length - level + 1)[starts]
 
 
 def _emitter(before: int, level: int, length: int):
@@ -135,13 +144,8 @@ def _emitter(before: int, level: int, length: int):
         if before:
             alive = np.zeros(len(joined), bool)
             alive[np.concatenate([np.asarray(k, np.int64) + f for k, f in zip(kept, firsts, strict=True)])] = True
-            reps = [_representatives(values, before, length, s)for s in np.array_split(starts, max(1, len(starts) // CHUNK))]
-            starts = starts[alive[np.concatenate(reps)]] if len(starts) else starts
-        if len(starts):
-            reps = [_representatives(values, level, length, s) for s in np.array_split(starts, max(1, len(starts) // CHUNK))]
-            at = np.unique(np.concatenate(reps))
-        else:
-            at = np.empty(0, np.int64)
+            starts = starts[alive[_representatives(values, before, length, starts)]]
+        at = np.unique(_representatives(values, level, length, starts))
         # four letters to a byte; the last byte overlaps where the length is no multiple of four
         quads = np.zeros(len(values), np.uint8)
         v = values & 3

@@ -8,7 +8,7 @@ import pytest
 from strandloom.llm.consolidate import consolidate_by_key, consolidate_pairs, kmer_groups
 from strandloom.llm.mixing import Target, fingerprint, mix_shares, mix_sources, route
 from strandloom.llm.packing import best_fit_decreasing, container_bound, pack_items
-from strandloom.llm.shared_spans import record_letters, shared_amounts, shared_spans
+from strandloom.llm.shared_spans import _first_in_window, record_letters, shared_amounts, shared_spans
 from strandloom.llm.tokens import TOKENIZER, _encoding, token_counts
 from strandloom.llm.top_items import top_items
 
@@ -46,6 +46,13 @@ def test_shared_spans(spark, few_heavy, length):
     assert set(amounts) == set(records) and amounts["poly1"] == 300 and amounts["short"] == amounts["own"] == 0
 
 
+def test_first_in_window():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 17, 49, 60):
+        order = rng.integers(0, 9, 60).astype(np.uint64)
+        assert _first_in_window(order, size).tolist() == [i + int(order[i : i + size].argmin()) for i in range(60 - size + 1)]
+
+
 def test_record_letters(spark):
     a = spark.createDataFrame([("x", "ac-g", 1), ("x", "ACG", 2), (None, "A", 3), ("y", None, 4), ("z", "aé|-", 5), ("v", "A", 6)], "id string, s string, letters int")
     b = spark.createDataFrame([("x", "ACG"), ("v", "C"), ("w", "")], "id string, t string")
