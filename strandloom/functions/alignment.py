@@ -134,8 +134,8 @@ def aligned_pair(query: Column, reference: Column, local: bool = False, gap_open
     def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = np.zeros((len(a), 5), np.int32)
         known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
-        sizes = np.array([len(a.iloc[i]) * len(b.iloc[i]) for i in known])
-        order = known[np.argsort(sizes, kind="stable")]
+        rows, columns = (np.array([len(t.iloc[i]) for i in known], np.int64) for t in (a, b))
+        order = known[np.lexsort((columns, rows // 64))]  # like sizes together, as all are filled up to the longest
         for part in np.array_split(order, -(-len(order) // BATCH)) if len(order) else []:
             out[part] = align_batch(a.iloc[part].tolist(), b.iloc[part].tolist(), table, local, gap_open, gap_extend)
         frame = pd.DataFrame(out, columns=["score", "matches", "mismatches", "insertions", "deletions"]).astype("Int32")
