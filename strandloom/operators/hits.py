@@ -54,6 +54,18 @@ def max_hsps(hits: DataFrame, n: int = 1) -> DataFrame:
     return top_rows(usable, ["queryid", "subjectid"], [F.desc("bitscore"), F.asc("hit_id")], n)
 
 
+def best_targets(hits: DataFrame, targets: int = 25, per_target: int = 1) -> DataFrame:
+    """The ``per_target`` best hits of each query and subject (0: all), of the ``targets`` best subjects of each query (0: all).
+
+    A subject ranks by its best hit, so that many hits on one subject don't push out others.
+    """
+    chosen = max_hsps(hits, per_target)
+    if not targets:
+        return chosen
+    best = top_rows(max_hsps(chosen, 1), ["queryid"], [F.desc("bitscore"), F.asc("hit_id")], targets)
+    return best if per_target == 1 else chosen.join(best.select("queryid", "subjectid"), ["queryid", "subjectid"], "left_semi").select(*hits.columns)
+
+
 def top_percent(hits: DataFrame, percent: float = 10) -> DataFrame:
     """Hits whose bitscore is at most ``percent`` % below the best of their query."""
     usable = hits.filter(finite("bitscore") & F.col("queryid").isNotNull())

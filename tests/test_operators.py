@@ -56,6 +56,16 @@ def test_ranking_and_dedup(spark, some_hits, few_heavy):
     assert hits.dedup_ids(records, "id", ["s"]).count() == 3
 
 
+def test_targets_are_subjects(spark):
+    rows = spark.createDataFrame([hit(i, score=100.0 + i) for i in range(30)] + [hit(30, subject="r", score=50.0), hit(31, subject="t", score=40.0)], HITS)
+    assert {r["hit_id"] for r in hits.best_targets(rows, 25, 1).collect()} == {29, 30, 31}
+    assert {r["hit_id"] for r in hits.best_targets(rows, 2, 0).collect()} == set(range(31))
+    assert {r["hit_id"] for r in hits.best_targets(rows, 1, 2).collect()} == {28, 29}
+    assert hits.best_targets(rows, 0, 0).count() == 32
+    markers = spark.createDataFrame([(s, "x", "MKV", 3) for s in "srt"], "subjectid string, otu string, sequencedata string, reference_len bigint")
+    assert {r["subjectid"] for r in retrieve_markers(rows, markers).sequences.collect()} == {"s", "r", "t"}
+
+
 def test_clusters(spark, few_heavy):
     reads = spark.createDataFrame([(1, "ACGTACGTACGTACGTAA"), (2, "ACGTACGTACGTACGTAC"), (3, "ACGTACGTACGTACG"), (4, "TTTTTTTTTTTTTTTTTT"), (None, "ACGT"), (6, None), (7, "")], "i bigint, s string")
     table = cluster.kmer_table(reads, "i", "s", m=50)
