@@ -20,6 +20,21 @@ def cleaned(cigar: Column) -> Column:
     return F.array_join(F.regexp_extract_all(cigar, F.lit(OPERATION), F.lit(0)), "")
 
 
+def fused(cigar: Column) -> Column:
+    """Plain operations only, equal neighbours as one."""
+    kind = "struct<out:string,op:string,n:bigint>"
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("op"), F.lit(0).alias("n")).cast(kind)
+
+    def written(acc: Column) -> Column:
+        return F.when(acc["op"] == "", acc["out"]).otherwise(F.concat(acc["out"], acc["n"].cast("string"), acc["op"]))
+
+    def step(acc: Column, o: Column) -> Column:
+        same = acc["op"] == o["op"]
+        return F.struct(F.when(same, acc["out"]).otherwise(written(acc)).alias("out"), o["op"].alias("op"), (F.when(same, acc["n"]).otherwise(0) + o["size"]).alias("n")).cast(kind)
+
+    return F.aggregate(operations(cigar), start, step, written)
+
+
 def operations(cigar: Column) -> Column:
     """Plain operations as an array of (op, size)."""
     parts = F.regexp_extract_all(cigar, F.lit(OPERATION), F.lit(0))

@@ -116,3 +116,29 @@ def repaired_hits(hits: DataFrame) -> DataFrame:
     read = usable.select("hit_id", "cigar", F.when(first > last, reverse_complement(segment)).otherwise(segment).alias("_s"))
     mended = read.select("hit_id", cig.repaired(F.col("_s"), F.col("cigar")).alias("nucleotides"), cig.shifts(F.col("cigar")).alias("shifts"))
     return mended.select("hit_id", "nucleotides", translated(F.col("nucleotides")).alias("protein"), "shifts")
+
+
+def repaired_queries(hits: DataFrame) -> DataFrame:
+    """Full queries with the repaired segment in place: hit_id, query, querystart, queryend, queryframe, cigar, protein.
+
+    A query whose coordinates run backwards is reverse-complemented as a whole; coordinates and the then positive
+    frame count on the strand read. cigar has plain operations only, equal neighbours fused. protein is the reported
+    one (without gaps) between the translated flanks, which lose the letters of incomplete codons at their outer ends;
+    it is null if none is reported. The same hits as in :func:`repaired_hits` are left out.
+    """
+    first, last, size = F.col("querystart"), F.col("queryend"), F.length("full_querysequence")
+    usable = hits.filter(F.col("full_querysequence").isNotNull() & F.col("cigar").isNotNull() & (first >= 1) & (last >= 1))
+    back = first > last
+    read = usable.select(
+        "hit_id", "cigar", F.regexp_replace("translated_querysequence", "-", "").alias("_p"), F.abs("queryframe").alias("queryframe"),
+        F.when(back, reverse_complement(F.col("full_querysequence"))).otherwise(F.col("full_querysequence")).alias("_q"),
+        F.when(back, size - first + 1).otherwise(first).alias("_f"), F.when(back, size - last + 1).otherwise(last).alias("_l"),
+    )
+    before, after = F.substr("_q", F.lit(1), F.greatest(F.col("_f") - 1, F.lit(0))), F.substr("_q", F.greatest(F.col("_l") + 1, F.lit(1)))
+    segment = F.substr("_q", F.greatest(F.col("_f"), F.lit(1)), F.col("_l") - F.greatest(F.col("_f"), F.lit(1)) + 1)
+    parts = read.select("hit_id", "cigar", "_p", "queryframe", "_f", before.alias("_b"), cig.repaired(segment, F.col("cigar")).alias("_n"), after.alias("_a"))
+    whole = F.substr("_b", F.length("_b") % 3 + 1)
+    return parts.select(
+        "hit_id", F.concat("_b", "_n", "_a").alias("query"), F.col("_f").alias("querystart"), (F.col("_f") + F.length("_n") - 1).alias("queryend"), "queryframe",
+        cig.fused(F.col("cigar")).alias("cigar"), F.concat(translated(whole), "_p", translated(F.col("_a"))).alias("protein"),
+    )

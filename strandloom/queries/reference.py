@@ -178,9 +178,10 @@ def frameshift_repair(t):
 
 @query()
 def patched_translation(t):
-    """How far the repaired and translated segment agrees with the reported protein."""
-    rows = hits.repaired_hits(t("hits")).join(t("hits").select("hit_id", F.regexp_replace("translated_querysequence", "-", "").alias("reported")), "hit_id")
-    return rows.select("hit_id", "protein", (F.col("protein") == F.col("reported")).alias("same"))
+    """Repaired full queries with the patched protein, and whether the segment, repaired and translated, agrees with the reported one."""
+    reported = t("hits").select("hit_id", F.regexp_replace("translated_querysequence", "-", "").alias("reported"))
+    rows = hits.repaired_hits(t("hits")).join(reported, "hit_id").select("hit_id", "protein", (F.col("protein") == F.col("reported")).alias("same"))
+    return rows.join(hits.repaired_queries(t("hits")).withColumnRenamed("protein", "patched"), "hit_id")
 
 
 # ---- intervals

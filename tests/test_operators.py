@@ -66,6 +66,20 @@ def test_targets_are_subjects(spark):
     assert {r["subjectid"] for r in retrieve_markers(rows, markers).sequences.collect()} == {"s", "r", "t"}
 
 
+def test_repaired_queries(spark):
+    # A CCC | ATG (a letter skipped) AAA (two stepped back) AAG TTT | GGG TT; the same backwards; nothing reported
+    forward = "A" + "CCC" + "ATG" + "C" + "AAA" + "GTTT" + "GGG" + "TT"
+    backward = forward[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    cigar = "1M1\\1M2/1M1M1D"
+    whole = "A" + "CCC" + "ATG" + "AAA" + "AAG" + "TTT" + "GGG" + "TT"
+    base = hit(0)
+    rows = [(1, "q", "MK-KF", forward, 5, 15, 2, *base[7:11], cigar, *base[12:]), (2, "q", "MKKF", backward, 16, 6, -2, *base[7:11], cigar, *base[12:]), (3, "q", None, forward, 5, 15, 2, *base[7:11], cigar, *base[12:])]
+    found = {r["hit_id"]: tuple(r)[1:] for r in hits.repaired_queries(spark.createDataFrame(rows, HITS)).collect()}
+    assert found[1] == found[2] == (whole, 5, 16, 2, "4M1D", "PMKKFG") and found[3] == (*found[1][:-1], None)
+    segments = {r["hit_id"]: r["nucleotides"] for r in hits.repaired_hits(spark.createDataFrame(rows, HITS)).collect()}
+    assert set(segments.values()) == {whole[4:16]}
+
+
 def test_clusters(spark, few_heavy):
     reads = spark.createDataFrame([(1, "ACGTACGTACGTACGTAA"), (2, "ACGTACGTACGTACGTAC"), (3, "ACGTACGTACGTACG"), (4, "TTTTTTTTTTTTTTTTTT"), (None, "ACGT"), (6, None), (7, "")], "i bigint, s string")
     table = cluster.kmer_table(reads, "i", "s", m=50)
