@@ -75,10 +75,16 @@ def top_percent(hits: DataFrame, percent: float = 10) -> DataFrame:
 
 
 def filter_hits(hits: DataFrame, identity: float = 0, score: float = 0, length: int = 0, query_cover: float = 0) -> DataFrame:
-    """Hits above limits for percentage identity, bitscore, covered subject letters and covered part (%) of the query."""
+    """Hits above limits for percentage identity, bitscore, covered subject letters and covered part (%) of the query; 0 switches a limit off."""
     span = F.abs(F.col("subjectend").cast("bigint") - F.col("subjectstart")) + 1
     cover = 100 * (F.abs(F.col("queryend").cast("bigint") - F.col("querystart")) + 1) / F.length("full_querysequence")
-    keep = finite("bitscore") & (F.col("percentidentical") >= identity) & (F.col("bitscore") >= score) & (span >= length)
+    keep = finite("bitscore")
+    if identity:
+        keep = keep & (F.col("percentidentical") >= identity)
+    if score:
+        keep = keep & (F.col("bitscore") >= score)
+    if length:
+        keep = keep & (span >= length)
     if query_cover:
         keep = keep & (F.col("full_querysequence") != "") & (cover >= query_cover)
     return hits.filter(keep)

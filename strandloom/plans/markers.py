@@ -57,6 +57,7 @@ def retrieve_markers(hits: DataFrame, markers: DataFrame, settings: Settings | N
     s = settings or Settings()
     ws = Workspace(hits.sparkSession, "markers")
     chosen = hit_ops.filter_hits(hit_ops.distinct_hits(hits), s.identity, s.score, s.length, s.query_cover)
+    chosen = chosen.filter("subjectstart is not null and subjectend is not null")  # else a hit without a place takes another's turn
     chosen = ws.save(hit_ops.best_targets(chosen, s.max_targets, s.max_hsps))
     won = stitch.masked(stitch.resolve_positions(chosen), s.retain_stops, s.retain_ambiguous)
     if s.trim:

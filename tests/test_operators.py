@@ -66,6 +66,12 @@ def test_targets_are_subjects(spark):
     assert {r["subjectid"] for r in retrieve_markers(rows, markers).sequences.collect()} == {"s", "r", "t"}
 
 
+def test_limits_switched_off(spark):
+    rows = spark.createDataFrame([(*hit(1)[:12], None, *hit(1)[13:]), hit(2, start=None), hit(3, score=float("nan")), hit(4, score=-5.0)], HITS)
+    assert {r["hit_id"] for r in hits.filter_hits(rows).collect()} == {1, 2, 4}
+    assert {r["hit_id"] for r in hits.filter_hits(rows, identity=1, length=1).collect()} == {4}
+
+
 def test_repaired_queries(spark):
     # A CCC | ATG (a letter skipped) AAA (two stepped back) AAG TTT | GGG TT; the same backwards; nothing reported
     forward = "A" + "CCC" + "ATG" + "C" + "AAA" + "GTTT" + "GGG" + "TT"
