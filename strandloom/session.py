@@ -61,6 +61,10 @@ class Workspace:
         self._saved[id(table)] = (table, path)
         return table
 
+    def together(self, *tables: DataFrame) -> DataFrame:
+        """Saved tables of one schema as a single scan."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[self._saved[id(t)][1] for t in tables])
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             _, path = self._saved.pop(id(table), (None, None))
