@@ -64,13 +64,17 @@ def read_matrix(path: str) -> dict[tuple[str, str], int]:
     return {(r[0], c): int(v) for r in rows[1:] for c, v in zip(rows[0], r[1:], strict=True)}
 
 
-def _lookup(matrix: dict[tuple[str, str], int]) -> np.ndarray:
+def lookup(matrix: dict[tuple[str, str], int]) -> np.ndarray:
+    """A matrix as a table by letter codes; pairs it doesn't list score its smallest value."""
     table = np.full((128, 128), min(matrix.values()), np.int32)
     for (a, b), v in matrix.items():
         table[ord(a), ord(b)] = v
     return table
 
 
+_lookup = lookup
+
+
 def _codes(texts: list[str]) -> np.ndarray:
     width = max(map(len, texts), default=0)
     out = np.zeros((len(texts), width), np.uint8)
@@ -128,7 +132,7 @@ _RESULT = "score int, matches int, mismatches int, insertions int, deletions int
 
 def aligned_pair(query: Column, reference: Column, local: bool = False, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, matrix: dict | None = None) -> Column:
     """Score and counts of the best global or local alignment of two sequences, as a struct; null if one is null."""
-    table = _lookup(matrix or blosum62())
+    table = lookup(matrix or blosum62())
 
     @F.pandas_udf(_RESULT)
     def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -35,9 +35,9 @@ def fused(cigar: Column) -> Column:
     return F.aggregate(operations(cigar), start, step, written)
 
 
-def operations(cigar: Column) -> Column:
-    """Plain operations as an array of (op, size)."""
-    parts = F.regexp_extract_all(cigar, F.lit(OPERATION), F.lit(0))
+def operations(cigar: Column, shifts: bool = False) -> Column:
+    """Plain operations, and frame shifts if asked for, as an array of (op, size)."""
+    parts = F.regexp_extract_all(cigar, F.lit(rf"{OPERATION}|{SHIFT}" if shifts else OPERATION), F.lit(0))
     return F.transform(parts, lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.substr(p, F.lit(1), F.length(p) - 1).cast("int").alias("size")))
 
 

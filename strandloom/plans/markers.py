@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alignment import pair_scores
 from ..functions.identifiers import sequence_part
 from ..operators import hits as hit_ops
 from ..operators import stats, stitch
@@ -30,6 +29,7 @@ class Settings:
     trim: bool = True
     window: int = 4
     least_mean: float = -7.0
+    nucleotides: bool = True
 
 
 @dataclass(frozen=True)
@@ -59,16 +59,14 @@ def retrieve_markers(hits: DataFrame, markers: DataFrame, settings: Settings | N
     chosen = hit_ops.filter_hits(hit_ops.distinct_hits(hits), s.identity, s.score, s.length, s.query_cover)
     chosen = chosen.filter("subjectstart is not null and subjectend is not null")  # else a hit without a place takes another's turn
     chosen = ws.save(hit_ops.best_targets(chosen, s.max_targets, s.max_hsps))
-    won = stitch.masked(stitch.resolve_positions(chosen), s.retain_stops, s.retain_ambiguous)
+    regions = ws.save(stitch.masked(stitch.resolve_regions(chosen, s.nucleotides), s.retain_stops, s.retain_ambiguous))
+    rows = stitch.stitched_on(regions, markers)
     if s.trim:
-        table = F.create_map(*[F.lit(x) for pair in pair_scores().items() for x in pair])
-        lined = stitch.with_reference(won, markers).filter("ref_residue <> ''")
-        value = F.when(F.col("residue") == "-", -12).otherwise(F.coalesce(table[F.upper(F.concat("residue", "ref_residue"))], F.lit(-4)))
-        won = stitch.trimmed(lined.withColumn("v", value).drop("ref_residue", "reference_len"), "v", s.window, s.least_mean).drop("v")
-    won = ws.save(won)
-    table = ws.save(stitch.marker_statistics(chosen, won, markers))
+        rows = stitch.trimmed(rows, s.window, s.least_mean)
+    rows = ws.save(rows)
+    table = ws.save(stitch.aligned_statistics(chosen, regions, rows))
     numbers = [c for c, kind in table.dtypes if kind != "string"]
     return Markers(
-        stitch.stitched(won, markers), table, stats.describe(table, numbers),
+        rows.drop("reference"), table, stats.describe(table, numbers),
         stats.histogram(table, "query_coverage", stats.COVERAGE_CLASSES), stats.histogram(table, "identity", stats.IDENTITY_CLASSES),
     )

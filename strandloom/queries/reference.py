@@ -339,6 +339,11 @@ def hit_filters(t):
 
 # ---- resolving and stitching
 
+def _whole_numbers(rows: DataFrame) -> DataFrame:
+    """Positions as int, as the tables have them."""
+    return rows.withColumns({c: F.col(c).cast("int") for c in rows.columns if c in ("pos", "first_pos", "last_pos")})
+
+
 _WON = r"""
 h as (select hit_id, subjectid, bitscore, translated_querysequence q, least(subjectstart, subjectend) f, greatest(subjectstart, subjectend) l, regexp_extract_all(cigar, '\d+[MIDNSHP=X]') o
       from hits where subjectid is not null and translated_querysequence is not null and cigar is not null and subjectstart >= 1 and subjectend >= 1 and isfinite(bitscore)),
@@ -356,7 +361,7 @@ runs as (select subjectid, hit_id, min(pos) first_pos, max(pos) last_pos from (s
 
 @query(f"with {_WON} select subjectid, hit_id, first_pos::int first_pos, last_pos::int last_pos from runs")
 def resolve_overlaps(t):
-    return stitch.resolved_regions(stitch.resolve_positions(t("hits")))
+    return _whole_numbers(stitch.owned_regions(t("hits")).drop("bitscore"))
 
 
 @query(f"""with {_WON}, z as (select subjectid, min(reference_len) n from markers where subjectid is not null and reference_len is not null group by subjectid),
@@ -364,40 +369,38 @@ def resolve_overlaps(t):
           select subjectid, (b + 1)::bigint first_pos, (first_pos - 1)::bigint last_pos from e where b + 1 <= first_pos - 1
           union all select subjectid, (last_pos + 1)::bigint, n from e where x is null and last_pos + 1 <= n""")
 def stitch_bridges(t):
-    return stitch.bridges(stitch.resolved_regions(stitch.resolve_positions(t("hits"))), t("markers"))
+    return stitch.bridges(stitch.owned_regions(t("hits")), t("markers"))
 
 
 @query(f"with {_WON} select subjectid, reference_len::int reference_len, string_agg(coalesce(residue, '-'), '' order by i) aligned, replace(string_agg(coalesce(residue, '-'), '' order by i), '-', '') residues from (select subjectid, reference_len, unnest(generate_series(1, reference_len)) i from (select distinct subjectid, reference_len from lined)) g left join (select subjectid, pos i, residue from lined) using (subjectid, i) group by subjectid, reference_len")
 def stitched_sequences(t):
-    return stitch.stitched(stitch.resolve_positions(t("hits")), t("markers"))
+    return stitch.stitched(stitch.resolve_regions(t("hits")), t("markers"))
 
 
 @query(f"with {_WON} select subjectid, pos::int pos, case when contains('*BJZX', upper(residue)) then '-' else residue end residue from won")
 def mask_columns(t):
-    return stitch.masked(stitch.resolve_positions(t("hits"))).select("subjectid", "pos", "residue")
+    return _whole_numbers(stitch.masked(stitch.resolve_positions(t("hits"))).select("subjectid", "pos", "residue"))
 
 
 _SCORE = f"""score as (select subjectid, pos, case when residue = '-' then -12 when upper(residue) = upper(ref_residue) then 5 else -2 end v from lined)"""
 
 
 def _scored(t) -> DataFrame:
-    lined = stitch.with_reference(stitch.resolve_positions(t("hits")), t("markers")).filter("ref_residue <> ''")
+    lined = stitch.with_reference(stitch.resolve_regions(t("hits")), t("markers"))
     value = F.when(F.col("residue") == "-", -12).when(F.upper("residue") == F.upper("ref_residue"), 5).otherwise(-2)
     return lined.select("subjectid", "pos", "residue", value.alias("v"))
 
 
 @query(f"with {_WON}, {_SCORE} select subjectid, pos::int pos, round(m, 6)::double window_mean from (select subjectid, pos, avg(v) over w m, count(*) over w n from score window w as (partition by subjectid order by pos range between current row and 3 following)) where n = 4")
 def sliding_mean(t):
-    return stitch.sliding_mean(_scored(t), "v").select("subjectid", "pos", F.round("window_mean", 6).alias("window_mean"))
+    return _whole_numbers(stitch.sliding_mean(_scored(t), "v").select("subjectid", "pos", F.round("window_mean", 6).alias("window_mean")))
 
 
 @query()
 def sliding_trim(t):
     """Stitched sequences after windows that score below -7.0 on BLOSUM62 have been cut."""
-    lined = stitch.with_reference(stitch.masked(stitch.resolve_positions(t("hits"))), t("markers")).filter("ref_residue <> ''")
-    table = F.create_map(*[F.lit(x) for pair in pair_scores().items() for x in pair])
-    value = F.when(F.col("residue") == "-", -12).otherwise(F.coalesce(table[F.upper(F.concat("residue", "ref_residue"))], F.lit(-4)))
-    return stitch.stitched(stitch.trimmed(lined.withColumn("v", value).drop("ref_residue", "reference_len"), "v"), t("markers"))
+    rows = stitch.stitched_on(stitch.masked(stitch.resolve_regions(t("hits"))), t("markers"))
+    return stitch.trimmed(rows).drop("reference")
 
 
 _STATS = f"""{_WON}, k as (select subjectid, reference_len, count(*) filter (residue <> '-') query_len, count(*) filter (residue <> '-' and upper(residue) = upper(ref_residue)) matches,
@@ -408,7 +411,7 @@ m as (select subjectid, reference_len::int reference_len, query_len, (select cou
 
 
 def _marker_stats(t) -> DataFrame:
-    return stitch.marker_statistics(t("hits"), stitch.resolve_positions(t("hits")), t("markers"))
+    return stitch.marker_statistics(t("hits"), stitch.resolve_regions(t("hits")), t("markers"))
 
 
 @query(f"with {_STATS} select * from m")
@@ -448,12 +451,12 @@ def marker_yield(t):
 
 @query(f"with {_WON} select subjectid, hit_id, min(pos)::int first_pos, max(pos)::int last_pos, string_agg(residue, '' order by pos) residues from (select *, pos - row_number() over (partition by subjectid, hit_id order by pos) g from won) group by subjectid, hit_id, g")
 def region_sequences(t):
-    return stitch.region_sequences(stitch.resolve_positions(t("hits")))
+    return _whole_numbers(stitch.resolve_regions(t("hits")).drop("bitscore"))
 
 
 @query(f"with {_WON} select hit_id, min(pos)::int first_pos, string_agg(residue, '' order by pos) residues from a where pos <= l group by hit_id")
 def mask_insertions(t):
-    return stitch.aligned_text(t("hits"))
+    return _whole_numbers(stitch.aligned_text(t("hits")))
 
 
 @query(f"""with {_WON}, m as (select a.hit_id, pos, case when op in ('D', 'N') then k else k + j + 1 end query_pos from (select hit_id, f + r + j pos, op, k, j, l from s, generate_series(0, n - 1) g(j) where op in ('M', '=', 'X', 'D', 'N')) a where pos <= l),
@@ -461,7 +464,7 @@ def mask_insertions(t):
           select hit_id, pos::int pos, query_pos::int query_pos, case when query_pos > 0 then case when a > b then a - 3 * (query_pos - 1) else a + 3 * (query_pos - 1) end end::int codon_first,
           case when query_pos > 0 then case when a > b then a - 3 * (query_pos - 1) - 2 else a + 3 * (query_pos - 1) + 2 end end::int codon_last from c""")
 def coordinate_table(t):
-    return stitch.coordinate_table(t("hits"))
+    return _whole_numbers(stitch.coordinate_table(t("hits")))
 
 
 # ---- alignment and search
