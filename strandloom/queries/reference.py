@@ -176,7 +176,27 @@ def frameshift_repair(t):
     return hits.repaired_hits(t("hits")).select("hit_id", "nucleotides", "shifts")
 
 
-@query()
+def _amino(text: str) -> str:
+    """SQL for the translation of a text's first frame."""
+    codons = f"list_transform(range(length({text}) // 3), lambda i: substr(translate(upper(replace({text}, '-', '')), 'U', 'T'), (i * 3 + 1)::bigint, 3))"
+    letter = f"case when regexp_full_match(c, '[TCAG]{{3}}') then substr('{seq.STANDARD_CODE}', instr('TCAG', c[1]) * 16 + instr('TCAG', c[2]) * 4 + instr('TCAG', c[3]) - 20, 1) else 'X' end"
+    return f"coalesce(array_to_string(list_transform(list_filter({codons}, lambda c: length(c) = 3), lambda c: {letter}), ''), '')"
+
+
+@query(rf"""with h as (select hit_id, cigar, querystart > queryend back, length(full_querysequence) size, querystart a, queryend b, abs(queryframe) queryframe, replace(translated_querysequence, '-', '') reported,
+            case when querystart > queryend then reverse(translate(full_querysequence, 'ACGTURYSWKMBDHVNacgturyswkmbdhvn', 'TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn')) else full_querysequence end q,
+            regexp_extract_all(cigar, '\d+[MIDNSHP=X\\/]') o from hits where full_querysequence is not null and cigar is not null and querystart >= 1 and queryend >= 1),
+          m as (select *, case when back then size - a + 1 else a end f, case when back then size - b + 1 else b end l from h),
+          s as (select *, substr(q, 1, greatest(f - 1, 0)) pre, substr(q, greatest(f, 1), greatest(l - greatest(f, 1) + 1, 0)) seg, substr(q, greatest(l + 1, 1)) post from m),
+          p as (select hit_id, seg, i, right(o[i], 1) op, left(o[i], length(o[i]) - 1)::int n from s, generate_series(1, len(o)) g(i)),
+          c as (select *, case when op in ('\', '/', 'D', 'N') then 0 else 3 * n end taken, 1 + coalesce(sum(case op when '\' then n when '/' then -n when 'D' then 0 when 'N' then 0 else 3 * n end)
+            over (partition by hit_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint pos from p),
+          r as (select hit_id, string_agg(case when taken > 0 then substr(seg, greatest(pos, 1), taken) else '' end, '' order by i) nuc from c group by hit_id),
+          k as (select hit_id, op, i, n, case when lag(op) over (partition by hit_id order by i) = op then 0 else 1 end new from p where op not in ('\', '/')),
+          j as (select hit_id, string_agg(n::varchar || op, '' order by run) cigar from (select hit_id, run, any_value(op) op, sum(n)::bigint n from (select *, sum(new) over (partition by hit_id order by i) run from k) group by hit_id, run) group by hit_id),
+          x as (select s.*, coalesce(nuc, '') nuc, coalesce(j.cigar, '') fused, substr(pre, (length(pre) % 3 + 1)::bigint) lead from s left join r using (hit_id) left join j using (hit_id))
+          select hit_id, {_amino('nuc')} protein, {_amino('nuc')} = reported same, pre || nuc || post query, f::int querystart, (f + length(nuc) - 1)::int queryend, queryframe, fused cigar,
+            {_amino('lead')} || reported || {_amino('post')} patched from x""")
 def patched_translation(t):
     """Repaired full queries with the patched protein, and whether the segment, repaired and translated, agrees with the reported one."""
     reported = t("hits").select("hit_id", F.regexp_replace("translated_querysequence", "-", "").alias("reported"))
@@ -344,7 +364,12 @@ def _whole_numbers(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("int") for c in rows.columns if c in ("pos", "first_pos", "last_pos")})
 
 
-_WON = r"""
+def _won(source: str) -> str:
+    """Common table expressions of the winners among the hits of a table."""
+    return _WINNERS.replace("from hits where", f"from {source} where")
+
+
+_WINNERS = r"""
 h as (select hit_id, subjectid, bitscore, translated_querysequence q, least(subjectstart, subjectend) f, greatest(subjectstart, subjectend) l, regexp_extract_all(cigar, '\d+[MIDNSHP=X]') o
       from hits where subjectid is not null and translated_querysequence is not null and cigar is not null and subjectstart >= 1 and subjectend >= 1 and isfinite(bitscore)),
 p as (select hit_id, subjectid, bitscore, q, f, l, i, right(o[i], 1) op, left(o[i], length(o[i]) - 1)::int n from h, generate_series(1, len(o)) g(i)),
@@ -357,6 +382,7 @@ ref as (select subjectid, min(sequencedata) z from markers where subjectid is no
 lined as (select won.*, substr(z, pos, 1) ref_residue, length(z) reference_len from won join ref using (subjectid) where substr(z, pos, 1) <> ''),
 runs as (select subjectid, hit_id, min(pos) first_pos, max(pos) last_pos from (select *, pos - row_number() over (partition by subjectid, hit_id order by pos) g from won) group by subjectid, hit_id, g)
 """
+_WON = _won("hits")
 
 
 @query(f"with {_WON} select subjectid, hit_id, first_pos::int first_pos, last_pos::int last_pos from runs")
@@ -377,6 +403,26 @@ def stitched_sequences(t):
     return stitch.stitched(stitch.resolve_regions(t("hits")), t("markers"))
 
 
+_SEGMENT = """case when querystart > queryend
+            then reverse(translate(substr(full_querysequence, least(querystart, queryend), abs(queryend - querystart) + 1), 'ACGTURYSWKMBDHVNacgturyswkmbdhvn', 'TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn'))
+            else substr(full_querysequence, least(querystart, queryend), abs(queryend - querystart) + 1) end"""
+_CODONS = rf"""
+d as (select hit_id, case when querystart >= 1 and queryend >= 1 then {_SEGMENT} end seg, regexp_extract_all(cigar, '\d+[MIDNSHP=X\\/]') o from hits where cigar is not null),
+e as (select hit_id, seg, i, right(o[i], 1) op, left(o[i], length(o[i]) - 1)::int n from d, generate_series(1, len(o)) g(i)),
+placed as (select *, coalesce(sum(case when op in ('M', '=', 'X', 'D', 'N') then n else 0 end) over w, 0)::bigint r,
+       1 + coalesce(sum(case op when '\' then n when '/' then -n when 'D' then 0 when 'N' then 0 else 3 * n end) over w, 0)::bigint p from e window w as (partition by hit_id order by i rows between unbounded preceding and 1 preceding)),
+codon as (select hit_id, r + j r, case when op in ('D', 'N') then '---' else rpad(substr(seg, greatest(p, 1) + 3 * j, 3), 3, '-') end codon from placed, generate_series(0, n - 1) g(j) where op in ('M', '=', 'X', 'D', 'N'))
+"""
+
+
+@query(f"""with {_WON}, {_CODONS}, c as (select lined.*, coalesce(codon, '---') codon from lined join h using (hit_id) left join codon on codon.hit_id = lined.hit_id and r = pos - f)
+          select subjectid, reference_len::int reference_len, string_agg(coalesce(codon, '---'), '' order by i) aligned_dna, replace(string_agg(coalesce(codon, '---'), '' order by i), '-', '') dna
+          from (select subjectid, reference_len, unnest(generate_series(1, reference_len)) i from (select distinct subjectid, reference_len from lined)) g left join (select subjectid, pos i, codon from c) using (subjectid, i) group by all""")
+def stitched_dna(t):
+    """The nucleotides of the stitched sequences, three letters for each residue."""
+    return stitch.stitched(stitch.resolve_regions(t("hits"), nucleotides=True), t("markers")).select("subjectid", "reference_len", "aligned_dna", "dna")
+
+
 @query(f"with {_WON} select subjectid, pos::int pos, case when contains('*BJZX', upper(residue)) then '-' else residue end residue from won")
 def mask_columns(t):
     return _whole_numbers(stitch.masked(stitch.resolve_positions(t("hits"))).select("subjectid", "pos", "residue"))
@@ -396,7 +442,21 @@ def sliding_mean(t):
     return _whole_numbers(stitch.sliding_mean(_scored(t), "v").select("subjectid", "pos", F.round("window_mean", 6).alias("window_mean")))
 
 
-@query()
+_BLOSUM = ", ".join(f"('{pair}', {v})" for pair, v in pair_scores().items())
+_CELLS = f"""
+shown as (select subjectid, pos, case when contains('*BJZX', upper(residue)) then '-' else residue end residue from lined),
+grid as (select subjectid, n, unnest(generate_series(1, n)) i from (select distinct subjectid, reference_len n from lined)),
+cell as (select g.subjectid, n, i, coalesce(residue, '-') residue, substr(z, i::bigint, 1) letter from grid g join ref using (subjectid) left join shown m on m.subjectid = g.subjectid and m.pos = i),
+blosum(pair, v) as (values {_BLOSUM}),
+valued as (select cell.*, residue = '-' gap, case when residue = '-' then -1 else coalesce(v, -4) end v, lag(residue) over (partition by subjectid order by i) before from cell left join blosum on pair = upper(residue || letter)),
+spot as (select subjectid, i, n, gap, count(*) over f c, sum(v) over f - 11 * (gap::int + coalesce(sum(case when gap and before <> '-' then 1 else 0 end) over (partition by subjectid order by i rows between 1 following and 3 following), 0)) total
+         from valued window f as (partition by subjectid order by i rows between current row and 3 following)),
+cut as (select distinct subjectid, i + j i from spot, generate_series(0, 3) g(j) where c = least(4, n) and total / c < -7.0),
+kept as (select cell.subjectid, n, i, letter, case when cut.i is not null then '-' else residue end residue from cell left join cut using (subjectid, i))
+"""
+
+
+@query(f"with {_WON}, {_CELLS} select subjectid, n::int reference_len, string_agg(residue, '' order by i) aligned, replace(string_agg(residue, '' order by i), '-', '') residues from kept group by subjectid, n")
 def sliding_trim(t):
     """Stitched sequences after windows that score below -7.0 on BLOSUM62 have been cut."""
     rows = stitch.stitched_on(stitch.masked(stitch.resolve_regions(t("hits"))), t("markers"))
@@ -509,10 +569,13 @@ def translated_search(t):
 _HASH = " ".join(f"when '{c}' then {n}" for c, n in cluster.HASH_NUMBERS.items())
 
 
-@query(f"""with s as (select distinct msaindex, upper(sequencedata) s from sequences where msaindex is not null and sequencedata is not null),
-          k as (select msaindex, s, length(s) n, i, substr(s, i, 14) kmer from s, generate_series(1, length(s) - 13) g(i)),
-          h as (select msaindex, s, n, i, kmer, list_reduce(list_prepend(0, list_transform(range(14), lambda j: case substr(kmer, (j + 1)::bigint, 1) {_HASH} end)), lambda a, v: xor(((a << 5) | (a >> 11)) & 65535, v)) hash from k where regexp_full_match(kmer, '[ACGTMRWSYKVHDBN-]*'))
-          select kmer, n::bigint seqlen, i::bigint kmerpos, msaindex, hash::int hash from (select *, row_number() over (partition by msaindex, s order by hash, i) r from h) where r <= 20""")
+_KMERS = f"""s as (select distinct msaindex, upper(sequencedata) s from sequences where msaindex is not null and sequencedata is not null),
+k as (select msaindex, s, length(s) n, i, substr(s, i, 14) kmer from s, generate_series(1, length(s) - 13) g(i)),
+h as (select msaindex, s, n, i, kmer, list_reduce(list_prepend(0, list_transform(range(14), lambda j: case substr(kmer, (j + 1)::bigint, 1) {_HASH} end)), lambda a, v: xor(((a << 5) | (a >> 11)) & 65535, v)) hash from k where regexp_full_match(kmer, '[ACGTMRWSYKVHDBN-]*')),
+lowest as (select * from (select *, row_number() over (partition by msaindex, s order by hash, i) r from h) where r <= 20)"""
+
+
+@query(f"with {_KMERS} select kmer, n::bigint seqlen, i::bigint kmerpos, msaindex, hash::int hash from lowest")
 def kmer_table(t):
     rows = t("sequences").select("msaindex", F.upper("sequencedata").alias("sequencedata")).distinct()
     return cluster.kmer_table(rows, "msaindex", "sequencedata")
@@ -528,24 +591,35 @@ def kmer_centers(t):
     return cluster.kmer_centers(t("kmer_index"))
 
 
-@query(f"""with {_CENTERS}, z as (select msaindex, min(upper(sequencedata)) s from sequences where msaindex is not null and sequencedata is not null group by 1 having min(upper(sequencedata)) <> ''),
-          p as (select center, member, a.s[:least(length(a.s), length(b.s))] x, b.s[:least(length(a.s), length(b.s))] y, least(length(a.s), length(b.s)) n from e join z a on a.msaindex = center join z b on b.msaindex = member),
-          d as (select *, unnest(range(-(n // 20), n // 20 + 1)) k from p),
-          i as (select center, member, n, k, (select count(*) from generate_series(1, n) g(j) where substr(x, j + k, 1) = substr(y, j, 1) and j + k between 1 and n) m from d)
-          select center, member, round(max(m) / n, 6)::double identity from i group by center, member, n having max(m) >= 0.95 * n""")
+_GAPFREE = """z as (select msaindex, min(upper(sequencedata)) s from sequences where msaindex is not null and sequencedata is not null group by 1 having min(upper(sequencedata)) <> ''),
+p as (select center, member, a.s[:least(length(a.s), length(b.s))] x, b.s[:least(length(a.s), length(b.s))] y, least(length(a.s), length(b.s)) n from e join z a on a.msaindex = center join z b on b.msaindex = member),
+d as (select *, unnest(range(-(n // 20), n // 20 + 1)) k from p),
+i as (select center, member, n, k, (select count(*) from generate_series(1, n) g(j) where substr(x, j + k, 1) = substr(y, j, 1) and j + k between 1 and n) m from d)"""
+
+
+@query(f"with {_CENTERS}, {_GAPFREE} select center, member, round(max(m) / n, 6)::double identity from i group by center, member, n having max(m) >= 0.95 * n")
 def gapfree_identity(t):
     """Centers and members that agree without gaps in at least 95 % of their letters."""
     pairs = cluster.kmer_centers(t("kmer_index"))
     return cluster.gap_free_matches(pairs, t("sequences"), "msaindex", "sequencedata").withColumn("identity", F.round("identity", 6))
 
 
-@query()
+_COVER = """
+ranked as (select center, row_number() over (order by count(*) desc, center) k, list(member) m from {pairs} group by center),
+walk(k, gone) as (select 0::bigint, []::bigint[] union all
+  select ranked.k, case when list_contains(gone, center) then gone else list_distinct(list_concat(gone, m)) end from walk join ranked on ranked.k = walk.k + 1),
+acting as (select ranked.* from ranked join walk on walk.k = ranked.k - 1 where not list_contains(gone, center)),
+first as (select member, min_by(center, k) removed_by from (select center, k, unnest(m) member from acting) group by member)
+select record, removed_by from (select center record from {pairs} union select member from {pairs}) left join first on member = record"""
+
+
+@query(f"with recursive {_CENTERS}, {_COVER.format(pairs='e')}")
 def cluster_cover(t):
     """Greedy cover of the centers and members by k-mers."""
     return cluster.greedy_cover(cluster.kmer_centers(t("kmer_index")))
 
 
-@query()
+@query(f"with recursive {_KMERS}, {_CENTERS.replace('from kmer_index', 'from (select kmer, n seqlen, msaindex from lowest)')}, {_GAPFREE}, w as (select center, member from i group by center, member, n having max(m) >= 0.95 * n), {_COVER.format(pairs='w')}")
 def cluster_reads(t):
     """The whole clustering of the contigs: k-mers, centers, comparison, cover."""
     return cluster.cluster_reads(t("sequences"), "msaindex", "sequencedata")
@@ -648,7 +722,17 @@ def combine_markers(t):
 
 # ---- whole jobs
 
-@query()
+_CHOSEN = """once as (select min(hit_id) hit_id, queryid, translated_querysequence, subjectid, subjectstart, subjectend, cigar, bitscore from hits where isfinite(bitscore) and subjectstart is not null and subjectend is not null
+  group by queryid, translated_querysequence, full_querysequence, querystart, queryend, queryframe, subjectid, subjectsequence, subjectstart, subjectend, cigar, percentidentical, bitscore, searched_at),
+of_target as (select *, row_number() over (partition by queryid, subjectid order by bitscore desc, hit_id) t from once where queryid is not null and subjectid is not null),
+chosen as (select * from (select *, row_number() over (partition by queryid order by bitscore desc, hit_id) u from of_target where t = 1) where u <= 25)"""
+
+
+@query(f"""with {_CHOSEN}, {_won("chosen")}, {_CELLS},
+          k as (select subjectid, n reference_len, count(*) filter (residue <> '-' and upper(residue) = upper(letter)) matches, count(*) filter (residue <> '-' and upper(residue) <> upper(letter)) mismatches from kept group by all)
+          select subjectid, reference_len::int reference_len, matches + mismatches query_len, (select count(*) from runs r where r.subjectid = k.subjectid) regions, (select count(*) from chosen h where h.subjectid = k.subjectid) contigs,
+          matches, mismatches, reference_len - matches - mismatches deletions, round_even(100.0 * (matches + mismatches) / reference_len, 2)::double query_coverage,
+          case when matches + mismatches = 0 then 0 else round_even(100.0 * matches / (matches + mismatches), 2) end::double identity from k""")
 def retrieve_markers(t):
     """Statistics of the whole marker job: filter, rank, resolve, mask, trim, stitch, summarise."""
     return plan(t("hits"), t("markers")).statistics
