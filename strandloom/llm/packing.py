@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -13,23 +14,25 @@ from ..session import Workspace
 
 #: Items that one task packs together.
 PART_ITEMS = 20_000
-#: Rounds of exchange after the first packing; they end earlier once nothing is gained.
-ROUNDS = 6
 _PLACED = "pack_id int, capacity int, key bigint, piece_no int, piece_tokens bigint, place string, used bigint, bins bigint, bound bigint"
 
 
-def container_bound(sizes: np.ndarray, capacity: int) -> int:
+def container_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """A number of containers that no packing of the sizes can go below, from dual feasible functions.
 
+    ``counts`` tells how often each size occurs (once, if it is left out).
+
     A function f with f(x1) + ... <= f(capacity) whenever x1 + ... <= capacity turns every packing into one of
-    the sizes f(x), so their sum bounds it. Two families are tried with all their parameters: large items counted
-    whole while small ones are left out (every threshold up to half the capacity), and sizes rounded down to
-    multiples of capacity / k (k up to 20); the second is also applied after the first.
+    the sizes f(x), so their sum bounds it. Two families are tried: large items counted whole while small ones are
+    left out (every threshold up to half the capacity), and sizes rounded down to multiples of capacity / k (k up to
+    20); the second is also applied after the first, for about 16 thresholds spread over the sizes.
     """
-    sizes = sizes[sizes > 0]
+    counts = np.ones(len(sizes), np.int64) if counts is None else counts
+    counts, sizes = counts[sizes > 0], sizes[sizes > 0]
     if not len(sizes):
         return 0
-    number = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1]
+    number = np.zeros(capacity + 1, np.int64)
+    np.add.at(number, sizes, counts)
     volume = np.cumsum(number * np.arange(capacity + 1))
     many = np.cumsum(number)
     limits = np.arange(0, capacity // 2 + 1)
@@ -88,7 +91,7 @@ def _pack_part(tag: str):
     return pack
 
 
-def pack_items(items: DataFrame, key: str, size: str, capacities: dict[int, int], part_items: int = PART_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack_items(items: DataFrame, key: str, size: str, capacities: dict[int, int], part_items: int = PART_ITEMS) -> DataFrame:
     """Lay all items into containers of each capacity: pack_id, container_id, key, piece_no, piece_tokens, unused_tokens.
 
     ``capacities`` maps a pack_id to its capacity, at least 1. An item larger than the capacity is cut into full
@@ -99,7 +102,8 @@ def pack_items(items: DataFrame, key: str, size: str, capacities: dict[int, int]
     Items are spread over parts of about ``part_items`` by a hash. Each part is packed best-fit decreasing, and a
     lower bound from dual feasible functions certifies it if it is met. The items of containers with room, from
     parts that are not certified, are pooled, spread anew over fewer parts and packed again; the new containers are
-    taken where they are fewer. That goes on until every part is certified or nothing is gained.
+    taken where they are fewer. That goes on until every part is certified or nothing is gained. Jobs run while the
+    result is built.
     """
     ws = Workspace(items.sparkSession, "packing")
     packs = F.array(*[F.struct(F.lit(i).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity")) for i, c in sorted(capacities.items())])
@@ -113,7 +117,7 @@ def pack_items(items: DataFrame, key: str, size: str, capacities: dict[int, int]
     rest = ws.save(rest)
     settled: DataFrame | None = None
     placed = _pack(ws, rest, 0, part_items)
-    for turn in range(1, rounds + 1):
+    for turn in count(1):  # each turn but the last saves containers
         loose = (F.col("bins") > F.col("bound")) & (F.col("used") < F.col("capacity"))
         pool = placed.filter(loose)
         before = {r[0]: r[1] for r in pool.groupBy("pack_id").agg(F.countDistinct("place")).collect()}  # a row for each capacity

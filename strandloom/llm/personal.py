@@ -30,6 +30,10 @@ _AT = r"(?:@|[ \xa0]@[ \xa0]|[ \xa0]?[\[(](?:at|AT)[\])][ \xa0]?|[ \xa0]AT[ \xa0
 _DOT = r"(?:\.|[ \xa0]?[\[(](?:dot|DOT)[\])][ \xa0]?|[ \xa0]DOT[ \xa0]|&#46;)"
 _EMAIL = re.compile(rf"(?<![\w.%+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w\-])")
 
+_MAIL_NEAR = re.compile(
+    r"(?i)(?:(?<!\w)(?:e-?mail\w*|mail\w*|courriel|correo|address|adresse|dirección|reach|contact\w*|kontakt\w*|write|schreib\w*|écri\w*|escrib\w*|send|by|at|unter|an|à|a|or|oder|ou|o)(?!\w)[^\d!?]{0,25}|[|>(,;:–—*][ \xa0]*)$"
+)
+
 _S = r"[ \xa0.\-‑–]"
 _EXT = rf"(?:{_GAP}?(?:ext\.?|extension|x|Durchwahl|poste|Nst\.){_GAP}?\d{{1,5}})?"
 _PHONE = re.compile(
@@ -51,27 +55,54 @@ _ID = re.compile(
     r"|\d\d\.?\d{3}\.?\d{3}-?[A-ZÑ]|[XYZ]-?\d{7}-?[A-Z]|\d\d/\d{3}/\d{5}|[A-Z0-9]{9,10}"
     r")(?![\w]|[\-/.,]\d)"
 )
-_ID_LABEL = re.compile(
-    r"(?i)(?:pass(?:port|eport)?|reisepass|pasaporte|nino|ni number|national insurance|ssn|social security|s[ée]cu(?:rit[ée] sociale)?|dni|nie|nif|tax id|"
-    r"steuer\W?id(?:nr)?|identity card|personalausweis|ausweis|carte d.identit[ée]|insee)(?:[ \xa0]*(?:no|nr|number|n°|num)\b\.?)?[ \xa0]*[:#]?[ \xa0]*$"
+_ID_WORD = (
+    r"(?:pass(?:port|eport)|reisepass(?:nummer)?|pasaporte|nino|ni number|national insurance|insurance (?:card|number|no)|ssn|social(?: security)?|s[ée]cu(?:rit[ée] sociale)?|seguridad social|sozialversicherung\w*|"
+    r"versicherungsnummer|num[ée]ro de s[ée]curit[ée]|dni|nie|nif|cif|tax (?:id|number|no)|taxpayer\w*|steuer\W?(?:id\w*|nr|nummer)|num[ée]ro fiscal|identificaci[óo]n fiscal|(?:id|identity) (?:card|number|no)|"
+    r"personalausweis\w*|ausweis\w*|carte (?:nationale )?d.identit[ée]|documento de identidad|insee)"
 )
-_ID_RIGHT = re.compile(r"(?i)^(?:,[ \xa0](?:holder|inhaber|titular|titulaire|au nom de)|[ \xa0](?:is on the form|lol))")
-_PHONE_LABEL = re.compile(
-    r"(?i)(?:tel|tél|phone|fon|fax|mobile|call|number|unter|appelez le|llamar al|teléfono|telefon|\|\||<br ?/?>|talked to [^()]{3,60}\(|oder|or|-mail|,)[.:]?[ \xa0(]*$"
+#: A word for an identity number right before it, and one not far before or after it.
+_ID_LABEL = re.compile(rf"(?i)(?<!\w){_ID_WORD}(?:[ \xa0]*(?:no|nr|number|nummer|n°|num|número|numéro|id)\b\.?)?[ \xa0]*(?:[:#=]|is|ist|est|es|lautet)?[ \xa0]*$")
+_ID_NEAR = re.compile(rf"(?i)(?<!\w){_ID_WORD}(?!\w)[^!?|;()]{{0,40}}$")
+_ID_RIGHT = re.compile(rf"(?i)^[^!?|;()\d]{{0,25}}(?:(?<!\w){_ID_WORD}(?!\w)|\b(?:holder|inhaber(?:in)?|titular|titulaire|au nom de|form\b|issued|ausgestellt|délivré|expedido))")
+_ID_STRONG = re.compile(r"\d{3}[\- \xa0]\d\d[\- \xa0]\d{4}|[A-Z]{2}[ \xa0]?\d\d[ \xa0]?\d\d[ \xa0]?\d\d[ \xa0]?[A-Z]|\d\d\.?\d{3}\.?\d{3}-?[A-ZÑ]|[XYZ]-?\d{7}-?[A-Z]|\d(?:[ \xa0]?\d\d){3}[ \xa0]?\d{3}[ \xa0]?\d{3}[ \xa0]?\d\d")
+#: Words around telephone numbers, or signs of a list of contacts before one.
+_PHONE_NEAR = re.compile(
+    r"(?i)(?:(?<!\w)(?:tel|tél|phone|telephone|fon|fax|mobile?|mobil|cell|call|ring|dial|text|whatsapp|sms|number|reach|contact|unter|rufnummer|nummer|handy|anruf\w*|ruf\w*|telefon\w*|appel\w*|téléphone\w*|numéro|joindre|portable|"
+    r"llam\w*|teléfono|móvil|número|contact\w*|hotline)(?!\w)[^\d!?]{0,25}|[|>(,;][ \xa0]*|(?<!\w)(?:or|oder|ou|o)[ \xa0])$"
 )
-_NUMBER_OTHER = re.compile(r"(?i)(?:isbn|revision|no\.|lot|accession|ip|population|code|index was|catalogue|isbn=|year=|pmid|doi|=|/p/|/)[ \xa0.:]*$")
+_NUMBER_OTHER = re.compile(r"(?i)(?:isbn|issn|revision|version|no\.|lot|accession|ip|population|code|(?:was|were|war|était|era) |catalogue|order|invoice|isbn=|year=|pmid|doi|=|/p/|/)[ \xa0.:]*$")
 
 _HOUSE = r"\d{1,4}[a-z]?(?:[ \xa0]bis)?"
 _FLAT = r"(?:flat|apt\.?|apartment|unit|suite|appt\.?|whg\.?|wohnung)[ \xa0]\d+[a-z]?"
 _PROPER = rf"{_L}[\w'’\-]*"
 _TOWN = rf"(?:,[ \xa0](?:\d{{5}}[ \xa0])?(?P<town>{_PROPER})(?:[ \xa0](?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?[ \xa0]\d[A-Z]{{2}}|\d{{5}})(?!\w))?)?"
+_STREET_EN = (
+    "street st. st road lane close avenue crescent drive court way terrace square place boulevard highway parkway gardens garden grove mews row walk rise view green circle trail heights quay wharf yard passage alley "
+    "embankment esplanade parade park hill gate"
+).split()
+_STREET_FR = "rue bd boulevard avenue av place chemin allée impasse quai route cours square passage sentier faubourg esplanade promenade venelle hameau cité".split()
+_STREET_ES = "c/ calle avda avenida plaza pza paseo camino carrera carretera ronda travesía glorieta pasaje rambla vía callejón cuesta urbanización alameda bulevar".split()
+_STREET_DE = "straße strasse str. weg allee gasse platz damm ufer ring pfad steig stieg chaussee promenade markt hof winkel kamp graben".split()
+#: Types of street that are common words of other meanings too.
+_VAGUE = {"way", "view", "green", "park", "hill", "gate", "garden", "gardens", "row", "walk", "rise", "circle", "trail", "heights", "yard", "passage", "place", "court", "close", "ring", "hof", "markt", "cours", "route", "square", "cité", "vía", "parade", "drive"}
+
+
+def _any(words: list[str]) -> str:
+    return "|".join(re.escape(w) + (r"\.?" if w in ("bd", "av", "avda", "pza") else "") for w in words)
+
+
 _ADDRESS = [
-    (re.compile(rf"(?i)(?<![\w.,])(?:{_FLAT},[ \xa0])?{_HOUSE}[ \xa0](?P<street>(?:{_PROPER}[ \xa0]){{1,3}}?(?:street|st\.|st|road|lane|close|avenue|crescent|drive|court|way|terrace|square|place|(?:rd|ln|ave|av|cres|dr)(?:\.(?=[,;]))?))(?!\w)(?:,[ \xa0]{_FLAT})?{_TOWN}"), "en"),
-    (re.compile(rf"(?i)(?<![\w.,]){_HOUSE},?[ \xa0](?P<street>(?:rue|bd\.?|boulevard|avenue|av\.|place|chemin|allée|impasse|quai)[ \xa0](?:(?:de|du|des|la|le)[ \xa0]|d['’])*{_PROPER})(?:,[ \xa0]{_FLAT})?{_TOWN}"), "fr"),
-    (re.compile(rf"(?i)(?<![\w.,])(?P<street>(?:c/|calle|avda\.?|avenida|plaza|pza\.?|paseo|camino)[ \xa0](?:(?:de|del|la|las|los)[ \xa0])*{_PROPER}),?[ \xa0]{_HOUSE}(?!\w)(?:,[ \xa0]\d{{1,2}}\.?[ºª°][ \xa0]?{_L}(?!\w))?{_TOWN}"), "es"),
-    (re.compile(rf"(?i)(?<![\w.,])(?P<street>{_PROPER}(?:straße|strasse|str\.|weg|allee|gasse|platz|damm|ufer)|{_PROPER}[ \xa0](?:straße|strasse|weg|allee|platz)|(?:am|an der|auf der|auf dem|zum|zur|beim)[ \xa0]{_PROPER})[ \xa0]{_HOUSE}(?!\w)(?:,[ \xa0]{_FLAT})?{_TOWN}"), "de"),
+    (re.compile(rf"(?i)(?<![\w.,])(?:{_FLAT},[ \xa0])?{_HOUSE}[ \xa0](?P<street>(?:{_PROPER}[ \xa0]){{1,3}}?(?P<type>{_any(_STREET_EN)}|(?:rd|ln|ave|av|cres|dr|blvd|sq|gdns)(?:\.(?=[,;]))?))(?!\w)(?:,[ \xa0]{_FLAT})?{_TOWN}"), "en"),
+    (re.compile(rf"(?i)(?<![\w.,]){_HOUSE},?[ \xa0](?P<street>(?P<type>{_any(_STREET_FR)})[ \xa0](?:(?:de|du|des|la|le)[ \xa0]|(?:de l|d|l)['’])*{_PROPER})(?:,[ \xa0]{_FLAT})?{_TOWN}"), "fr"),
+    (re.compile(rf"(?i)(?<![\w.,])(?P<street>(?P<type>{_any(_STREET_ES)})[ \xa0](?:(?:de|del|la|las|los)[ \xa0])*{_PROPER}),?[ \xa0](?:n[.º°]*[ \xa0])?{_HOUSE}(?!\w)(?:,[ \xa0]\d{{1,2}}\.?[ºª°][ \xa0]?{_L}(?!\w))?{_TOWN}"), "es"),
+    (re.compile(rf"(?i)(?<![\w.,])(?P<street>{_PROPER}(?P<type>{_any(_STREET_DE)})|{_PROPER}[ \xa0](?P<type2>{_any(_STREET_DE)})|(?:am|an der|auf der|auf dem|zum|zur|beim)[ \xa0]{_PROPER})[ \xa0]{_HOUSE}(?!\w)(?:,[ \xa0]{_FLAT})?{_TOWN}"), "de"),
 ]
-_ADDRESS_LEFT = re.compile(r"(?i)(?:lives at|moved to|habite|wohne in der|wohne in|vivo en|write to [^,]{3,50}(?:, [^,]{2,25})?,|écrire à [^,]{3,50}(?:, [^,]{2,25})?,|escribir a [^,]{3,50}(?:, [^,]{2,25})?,|bitte an [^,]{3,50}(?:, [^,]{2,25})?,|address:?|adresse:?|dirección:?)[ \xa0]*$")
+_ARTICLE = re.compile(r"(?i)(?:the|der|die|das|den|dem|des|diese\w?|le|les|el|los|las|un|une|una|ein|eine)[ \xa0]")
+#: Words for living, moving or writing to somewhere, not far before an address.
+_ADDRESS_LEFT = re.compile(
+    r"(?i)(?<!\w)(?:lives?|lived|living|moved|resid\w+|stay\w*|address\w*|located|home|house|office|delivered?|ship\w*|send|sent|post|letters?|write|visit\w*|at|habit\w*|demeur\w*|domicili\w*|résid\w*|adress\w*|écri\w*|envo\w*|chez|"
+    r"wohn\w*|zuhause|anschrift|schreib\w*|schick\w*|zieh\w*|zog\w*|bitte|vivo|vive\w*|viv\w+|domicilio|dirección|escrib\w*|enviar?|envíe\w*)(?!\w)[^!?|;]{0,45}$"
+)
 
 _PARTICLE = r"(?:van der|van den|van de|van|von der|von|zu|de la|de los|de|del|della|da|dos|di|du|der|den|ter|le|la)"
 _WORD = rf"{_L}{{2,}}"
@@ -81,29 +112,42 @@ _INITIALS = rf"{_L}\.(?:[ \xa0]?{_L}\.)*"
 _NAME = re.compile(rf"(?i)(?:{_WORD}|{_INITIALS})(?:{_GAP}(?:{_WORD}|{_INITIALS})){{0,2}}?(?:{_GAP}{_PARTICLE})?{_GAP}{_FAMILY}")
 _FULL = re.compile(rf"(?i)(?:{_WORD}|{_INITIALS})(?:{_GAP}(?:{_WORD}|{_INITIALS})){{0,2}}(?:{_GAP}{_PARTICLE})?{_GAP}{_FAMILY}")
 _NEXT = re.compile(rf"{_GAP}({_FAMILY}|(?:{_L}\.)+)")
+#: Words and initials with capitals right before a family name, from each of them on.
+_HEADS = re.compile(rf"(?<![\w.\-])(?=((?:[^\W\d_a-zß-ÿ][^\W\d_]*\.?{_GAP}(?:{_PARTICLE}{_GAP})?){{1,3}})\Z)")
 _IS_PARTICLE = re.compile(r"(?:van|von|den|der|zu|de|la|los|del|della|da|dos|di|du|ter|le)").fullmatch
 #: ... or the family name first.
 _TURNED = re.compile(rf"(?i){_FAMILY},{_GAP}(?:{_WORD}|{_INITIALS})(?:{_GAP}(?:{_INITIALS}))?(?:{_GAP}{_PARTICLE}(?!\w))?")
-_LEFT = re.compile(
-    r"(?i)(?:\bholder|\binhaber(?:in)?|\btitular|\btitulaire|\bau nom de|\bsigned|\bask for|\btalked to|\bgespräch mit|\bwrite to|\bbitte an|\bécrire à|\bescribir a|"
-    r"\bentretien avec|\bparlé (?:à|avec)|\bhablado con|\bconversación con|\bentrevista (?:a|con)|"
-    r"\b(?:dr|mr|mrs|ms|prof|hr|frau|herr|mme|sr|sra)\b\.?(?: dr\.?)?|\bcontact[ \xa0]*=|\bhi|\bhaha|—|^\*|\s\*|\|\|)[ \xa0]*$"
+_TITLE = r"(?:dr|mr|mrs|ms|miss|sir|prof|professor|hr|frau|herr|herrn|monsieur|madame|mme|mlle|señora?|sr|sra|don|doña)\b\.?(?: dr\.?)?"
+#: What stands before people: titles, greetings, words for people and for naming, asking and addressing them.
+_PERSON = (
+    rf"{_TITLE}|hi|hello|hey|dear|hallo|liebe|lieber|bonjour|cher|chère|hola|querid[oa]|estimad[oa]|"
+    r"holder|owner|inhaber(?:in)?|titular|titulaire|au nom de|signed|gezeichnet|signé(?: par)?|firmado(?: por)?|regards,?|sincerely,?|grüße,?|cordialement,?|saludos,?|attn\.?:?|c/o|"
+    r"name is|named|my name's|name:|heißt|heiße|namens|(?:m|s)['’]appelle|nommée?|me llamo|se llama|llamad[oa]|nombre:|nom ?:|contact|contact[ \xa0]*[=:]|kontakt:?|ansprechpartner(?:in)?:?|"
+    r"ask(?:ed)? for|ask|(?:talk|speak|spoke)(?:ed)? (?:to|with)|met|meet|thank|thanks to|phone|ring|write to|wrote to|written by|edited by|gespräch mit|sprechen mit|fragen sie nach|(?:wende|wenden) (?:dich|sie sich) an|bitte an|écrire à|écrivez à|"
+    r"entretien avec|parl\w+ (?:à|avec)|demande[rz]?|adressez-vous à|escribir a|escriba a|hablad?[oar]+ con|conversación con|entrevista (?:a|con)|pregunt\w+ por|"
+    r"colleague|friend|neighbou?r|teacher|boss|manager|brother|sister|mother|father|wife|husband|son|daughter|uncle|aunt|cousin|doctor|patient|student|client|customer|author|curator|"
+    r"kolleg(?:e|in)|freund(?:in)?|nachbar(?:in)?|lehrer(?:in)?|chef(?:in)?|bruder|schwester|mutter|vater|kund(?:e|in)|collègue|amie?|voisine?|professeure?|frère|sœur|mère|père|"
+    r"colega|amig[oa]|vecin[oa]|profesora?|herman[oa]|madre|padre"
 )
-_RIGHT = re.compile(
-    r"(?i)^(?:[ \xa0](?:lives[ ]at|from class|is an? |\(\+?[\d(]|\((?:tel|tél)|–[ \xa0]\S+)|'s[ \xa0](?:pass|ni|ssn|dni|tax|social|identity|personal|n°)|,[ \xa0](?:phone|tel)|<br|[ \xa0]\|\||\s*\[\[(?:user|benutzer|usuario|utilisateur):|$)"
+_LEFT = re.compile(rf"(?i)(?:(?<!\w)(?:{_PERSON})|—|^\*|\s\*|\|\|)[ \xa0]*$")
+#: What people do, have and are, after their names.
+_DOING = (
+    r"lives?|lived|said|says|wrote|writes|works?|worked|told|asked|called|phoned|emailed|joined|moved|answered|replied|thinks|added|explained|married|teaches|studies|can be reached|was born|is an?|"
+    r"sagte|sagt|schrieb|schreibt|wohnt|wohnte|arbeitet|arbeitete|rief|meinte|heiratete|ist erreichbar|habite|habitait|travaille|travaillait|dit|écrit|est né|vive|vivía|trabaja|trabajaba|dijo|escribió|llamó|nació"
 )
-_STARTS = re.compile(
-    r"(?i)(?:holder|inhaber|titular|titulaire|au nom de|signed|ask for|talked to|gespräch mit|write to|bitte an|écrire à|escribir a|entretien avec|hablado con|"
-    r"(?<!\w)(?:dr|mr|mrs|ms|prof|frau|herr|mme|sr|sra)\.?(?: dr\.?)?|contact[ \xa0]*=|(?<!\w)hi|haha|—|(?:^|\s)\*|\|\|)[ \xa0]+(?=[^\W\d_])"
+_RIGHT = re.compile(
+    rf"(?i)^(?:[ \xa0](?:(?:{_DOING})(?!\w)|from[ \xa0]|\(\+?[\d(]|\((?:tel|tél)|–[ \xa0]\S+|\|\|)|['’]s[ \xa0]{_ID_WORD}|['’]s[ \xa0](?:personal|n°|phone|number|house|e-?mail|address)|,[ \xa0](?:phone|tel|tél)|<br|\s*\[\[(?:user|benutzer|usuario|utilisateur):|$)"
 )
-_ENDS = re.compile(r"(?i)[ \xa0](?:lives at|from class|is an? )|'s (?:pass|ni|ssn|dni|tax|social|identity|personal|n°)")
-_NEVER = re.compile(r"(?i)^(?:[ \xa0]?\(-?\d+\.\d+|,[ \xa0]\d{4}\b|[ \xa0]index\b|–\w|\]\]|\|)")
+_STARTS = re.compile(rf"(?i)(?:(?<!\w)(?:{_PERSON})|—|(?:^|\s)\*|\|\|)[ \xa0]+(?=[^\W\d_])")
+_ENDS = re.compile(rf"(?i)[ \xa0](?:{_DOING})(?!\w)|['’]s (?:{_ID_WORD}|personal|n°|phone|number|e-?mail|address)")
+#: What doesn't follow people: coordinates, a year of description, an eponym's noun, the rest of a compound or link.
+_NEVER = re.compile(r"(?i)^(?:[ \xa0]?\(-?\d+\.\d+|,[ \xa0]\d{4}\b|[ \xa0](?:index|method|test|theorem|syndrome|disease|effect|law|algorithm|equation|process|scale|constant|model|formula)\b|–\w|\]\]|\|(?!\|))")
 _PLACE = {"bridge", "ridge", "bay", "glacier", "street", "road", "lane", "close", "avenue", "crescent", "river", "lake", "hill", "mount", "island", "park", "index", "user", "talk", "category", "bot"}
-#: Labels and first words of sentences that may stand beside a name but belong to none.
+#: Labels and first words of sentences that may stand beside a name but seldom belong to one.
 _LABELS = {
     "dr", "mr", "mrs", "ms", "prof", "hi", "haha", "holder", "inhaber", "titular", "titulaire", "signed", "the", "tel", "phone", "lost", "curator", "source", "quelle", "frau",
     "herr", "please", "you", "ich", "vivo", "écrire", "escribir", "bitte", "erreichbar", "contact", "contacto", "call", "lives", "at", "my", "email", "see", "revision",
-    "accession", "catalogue", "isbn", "population",
+    "accession", "catalogue", "isbn", "population", "sir", "miss", "hello", "dear", "name", "monsieur", "madame", "señor", "señora", "don", "doña",
 }
 
 
@@ -130,13 +174,20 @@ class Candidate:
 
 
 _HINTS = {
-    "email": ("@", "(at)", "[at]", "&#64;", " dot "),
-    "street": ("street", " st", "road", " rd", "lane", " ln", "close", " av", "crescent", " cres", "drive", " dr", "court", " way", "terrace", "square", "place",
-               "rue ", "rue\xa0", "bd", "boulevard", "chemin", "allée", "impasse", "quai", "c/", "calle", "avda", "avenida", "plaza", "pza", "paseo", "camino",
-               "straße", "strasse", "str.", "weg", "allee", "gasse", "platz", "damm", "ufer", "am ", "an der ", "auf de", "zum ", "zur ", "beim "),
-    "start": ("holder", "inhaber", "titula", "au nom de", "signed", "ask for", "talked to", "gespräch mit", "write to", "bitte an", "écrire à", "escribir a",
-              "entretien avec", "hablado con", "dr.", "mr", "mrs", "ms.", "prof", "frau ", "herr ", "mme", "sr.", "sra", "contact", "hi ", "haha", "—", "* ", "|| "),
-    "end": ("lives at", "from class", " is a", "'s "),
+    "email": ("@", "(at)", "[at]", "&#64;", " dot ", " at "),
+    "street": tuple({*(f" {w}" for w in (*_STREET_EN, "rd", "ln", "ave", "av", "cres", "dr", "blvd", "sq", "gdns")), *_STREET_FR, *_STREET_ES, *_STREET_DE, "am ", "an der ", "auf de", "zum ", "zur ", "beim "}),
+    "start": (
+        "dr", "mr", "ms", "miss", "sir", "prof", "hr", "frau", "herr", "monsieur", "madame", "mme", "mlle", "señor", "sr", "don", "hi", "hello", "hey", "dear", "hallo", "liebe", "bonjour", "cher", "chère", "hola", "querid", "estimad",
+        "holder", "owner", "inhaber", "titula", "au nom de", "signed", "gezeichnet", "signé", "firmado", "regards", "sincerely", "grüße", "cordialement", "saludos", "attn", "c/o", "name", "heiß", "appelle", "nommé", "llam", "nombre", "nom",
+        "contact", "kontakt", "ansprechpartner", "ask", "talk", "speak", "spoke", "met", "meet", "thank", "phone", "ring", "write to", "wrote to", "written by", "edited by", "gespräch", "sprechen", "fragen", "wende", "bitte an", "écri", "entretien",
+        "parl", "demande", "adressez", "escrib", "habla", "conversación", "entrevista", "pregunt", "colleague", "friend", "neighbo", "teacher", "boss", "manager", "brother", "sister", "mother", "father", "wife", "husband", "son ", "daughter",
+        "uncle", "aunt", "cousin", "doctor", "patient", "student", "client", "customer", "author", "curator", "kolleg", "freund", "nachbar", "lehrer", "chef", "bruder", "schwester", "mutter", "vater", "kund", "collègue", "ami", "voisin",
+        "frère", "sœur", "mère", "père", "colega", "amig", "vecin", "herman", "madre", "padre", "—", "* ", "|| ",
+    ),
+    "end": (
+        " live", " said", " say", " wr", " work", " told", " asked", " called", " phoned", " emailed", " joined", " moved", " answered", " replied", " thinks", " added", " explained", " married", " teaches", " studies", " can be", " was born",
+        " is a", " sagt", " schr", " wohnt", " arbeitet", " rief", " meinte", " heiratete", " ist err", " habit", " travaill", " dit", " écrit", " est né", " viv", " trabaja", " dijo", " escribió", " llamó", " nació", "'s ", "’s ",
+    ),
 }
 
 
@@ -152,8 +203,9 @@ class Scanner:
         for hint, words in _HINTS.items():
             for w in words:
                 self.literals.add_word(w, (hint, len(w)))
-        for w in known.given:
-            self.literals.add_word(w, ("given", len(w)))
+        for kind, names in (("family", known.family), ("given", known.given)):
+            for w in names:
+                self.literals.add_word(w, (kind, len(w)))
         self.literals.make_automaton()
 
     def candidates(self, line: str) -> list[Candidate]:
@@ -161,12 +213,12 @@ class Scanner:
         low = line.lower()
         if len(low) != len(line):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in line)
-        hints, given = set(), []
+        hints, given, family = set(), [], []
         for end, (hint, size) in self.literals.iter(low):
-            if hint == "given":
+            if hint in ("given", "family"):
                 at = end - size + 1
                 if line[at].isupper() and (not at or not line[at - 1].isalpha()) and (end + 1 == len(line) or not line[end + 1].isalpha()):
-                    given.append(at)
+                    (given if hint == "given" else family).append(at)
             else:
                 hints.add(hint)
         found = _emails(line) if "email" in hints else []
@@ -175,8 +227,8 @@ class Scanner:
             found += _numbers(line, numbers)
         if "street" in hints and any(map(str.isdigit, line)):
             found += _addresses(line)
-        if given or "start" in hints or "end" in hints:
-            found += _names(line, self, given, "start" in hints, "end" in hints)
+        if given or family or "start" in hints or "end" in hints:
+            found += _names(line, self, given, family, "start" in hints, "end" in hints)
         return found
 
 
@@ -188,7 +240,7 @@ def _emails(line: str) -> list[Candidate]:
         ending = re.search(r"([a-z]+)$", whole)[1]
         found.append(_candidate(line, 0, m.start(), m.end(), [
             1 if re.fullmatch(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+", whole) else 0,
-            1 if re.search(r"(?i)(?:reach me at|email|e-mail|mailto:|run by|oder|contacto?\s?:|–|\|\||mail)[ \xa0]*$", left) else 0,
+            1 if _MAIL_NEAR.search(left) else 0,
             -1 if re.search(r"(?i)(?:contig|accession|https?://\S*)[ \xa0]*$", left) else 1,
         ], ["ending=" + ending, "user" if "user:" in left.lower() else ""]))
     return found
@@ -215,22 +267,22 @@ def _numbers(line: str, spots: list[re.Match]) -> list[Candidate]:
 
 
 def _number(line: str, kind: int, first: int, last: int) -> Candidate | None:
-    left, right = line[max(0, first - 70) : first], line[last : last + 20]
+    """A telephone or identity number; either has six digits or more."""
+    left, right = line[max(0, first - 70) : first], line[last : last + 50]
     shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", line[first:last])))
     if sum(c == "9" for c in shape) < 6:
         return None
-    labelled = bool(_ID_LABEL.search(left))
+    labelled, near, after = bool(_ID_LABEL.search(left)), bool(_ID_NEAR.search(left)), bool(_ID_RIGHT.match(right))
     other = bool(_NUMBER_OTHER.search(left)) and not labelled
     if kind == 1:
         votes = [
-            0 if re.fullmatch(r"9+", shape) else 1, 1 if _PHONE_LABEL.search(left) else 0, -1 if labelled or _ID_RIGHT.match(right) else 0,
+            0 if re.fullmatch(r"9+", shape) else 1, 1 if _PHONE_NEAR.search(left) else 0, -1 if labelled or near or after else 0,
             -1 if other else 0, 1 if " ext" in line[first:last] or shape.startswith(("+", "(", "00")) else 0,
-        ]
+        ]
     else:
+        strong = bool(_ID_STRONG.fullmatch(line[first:last]))
         plain = shape == "999999999"
-        if not labelled and (plain or not _ID_RIGHT.match(right)):
-            return None
-        votes = [0 if plain else 1, 1 if labelled else -1, 1 if _ID_RIGHT.match(right) else 0, -1 if other else 0]
+        votes = [1 if strong else 0, 1 if labelled else 0, 1 if labelled or near or after else -1, 1 if after else 0, -1 if other else 0, -1 if plain and not labelled else 0]
     return _candidate(line, kind, first, last, votes, ["shape=" + shape])
 
 
@@ -243,13 +295,15 @@ def _addresses(line: str) -> list[Candidate]:
             if town and not _fits(street, town):
                 last = line.rfind(",", m.end("street"), m.start("town"))
             proper = [w for w in re.findall(rf"{_L}+", street) if len(w) > 3]
-            styled = street.islower() or any(w[0].isupper() for w in proper)
-            left, right = line[max(0, first - 90) : first], line[last : last + 14]
+            styled = (street.islower() or any(w[0].isupper() for w in proper)) and not _ARTICLE.match(street)
+            left, right = line[max(0, first - 60) : first], line[last : last + 14]
             told = bool(_ADDRESS_LEFT.search(left))
+            kind = (m["type"] or (m["type2"] if style == "de" else "") or "am").lower()
+            vague = kind in _VAGUE or kind == "am" or kind in ("st", "st.") and first and not told
             other = re.match(r"(?i) (?:is|crosses|of|bridge)\b", right) or re.search(r"(?i)\b(?:in|of|since|route)[ \xa0]$", left) and not told
             found.append(_candidate(line, 3, first, last, [
-                1 if styled else -1, 1 if told else 0, 1 if line[m.end("street") : last].strip(" ,.") else 0, -1 if other else 0,
-            ], ["style=" + style]))
+                1 if styled else -1, 1 if told else 0, 1 if line[m.end("street") : last].strip(" ,.") else 0, -1 if other else 0, -1 if vague else 1,
+            ], ["style=" + style]))
     return found
 
 
@@ -260,7 +314,7 @@ def _fits(street: str, town: str) -> bool:
     return town[0].isupper()
 
 
-def _names(line: str, scanner: Scanner, given_at: list[int], starts: bool, ends: bool) -> list[Candidate]:
+def _names(line: str, scanner: Scanner, given_at: list[int], family_at: list[int], starts: bool, ends: bool) -> list[Candidate]:
     known = scanner.known
     seen: dict[tuple[int, int], Candidate] = {}
 
@@ -268,12 +322,13 @@ def _names(line: str, scanner: Scanner, given_at: list[int], starts: bool, ends:
         text = line[first:last]
         if (first, last) in seen:
             return
-        left, right = line[max(0, first - 24) : first], line[last : last + 46]
+        left, right = line[max(0, first - 30) : first], line[last : last + 46]
         words = [w for w in re.split(r"[ \xa0,.]+", text) if len(w) > 1]
         proper = [w for w in words if not _IS_PARTICLE(w.lower())]
         low = [p for w in proper for p in w.lower().split("-")]
-        if len(proper) + len(re.findall(rf"{_L}\.", text)) < 2 or any(w in _LABELS or w in _PLACE for w in low):
+        if len(proper) + len(re.findall(rf"{_L}\.", text)) < 2 or not proper:
             return
+        place, label = any(w in _PLACE for w in low), any(w in _LABELS for w in low)
         capital = all(w[0].isupper() for w in proper)
         at_left, at_right = bool(_LEFT.search(left)), bool(_RIGHT.match(right))
         if not capital and not ((at_left or at_right) and all(w.islower() for w in proper)):
@@ -286,14 +341,14 @@ def _names(line: str, scanner: Scanner, given_at: list[int], starts: bool, ends:
         # a family name among the given ones, or a given name in the family's place, speaks against the cut
         wrong = name in known.given or any(w in known.family or w not in known.given and w[-4:] in scanner.endings for w in others)
         initial = bool(re.search(rf"(?:^|[ \xa0.]){_L}\.", text))
-        if not (at_left or at_right or given and like):
+        if not (at_left or at_right or given or name in known.family):
             return
         if not capital and not (given or name in known.family or like and (at_left or not right.lower().startswith((" is a", "\xa0is a")))):
             return
         case = "A" if text.isupper() else "a" if text.islower() else "Aa"
         seen[first, last] = _candidate(line, 4, first, last, [
             1 if given else 0, 1 if like else -1, 1 if at_left else 0, 1 if at_right else 0,
-            -1 if _NEVER.match(right) or re.search(r"(?:\[\[|\w–|''|User:|(?<!\|)\|)$", left) else 0, -1 if wrong else 1 if initial else 0,
+            -1 if place or _NEVER.match(right) or re.search(r"(?:\[\[|\w–|''|User:|(?<!\|)\|)$", left) else 0, -1 if wrong or label else 1 if initial else 0,
         ], ["end=" + name[-3:], "begin=" + low[0][-2:], "n=" + str(len(proper)), "case=" + case, "in=" + str(len(given)) + str(int(name in known.family))])
 
     def all_from(at: int) -> None:
@@ -309,7 +364,7 @@ def _names(line: str, scanner: Scanner, given_at: list[int], starts: bool, ends:
             all_from(m.end())
     if ends:
         for m in _ENDS.finditer(line):
-            begin = max(0, m.start() - 60)
+            begin = max(0, m.start() - 80)
             for n in re.finditer(rf"(?<![\w.])(?={_L})", line[begin : m.start()]):
                 head = line[begin + n.start() : m.start()]
                 if _TURNED.fullmatch(head) or _FULL.fullmatch(head):
@@ -318,6 +373,10 @@ def _names(line: str, scanner: Scanner, given_at: list[int], starts: bool, ends:
         all_from(at)
         if b := re.search(rf"(?<![\w\-])({_FAMILY}),{_GAP}$", line[max(0, at - 60) : at]):
             all_from(max(0, at - 60) + b.start())
+    for at in family_at:
+        for n in _HEADS.finditer(line, max(0, at - 60), at):
+            all_from(n.start(1))
+        all_from(at)
     return list(seen.values())
 
 
@@ -342,7 +401,7 @@ def _cuts(line: str, at: int, known: Gazetteer) -> list[int]:
         if _IS_PARTICLE(word.lower()):
             end = n.end()
             continue
-        if upper and not word.isupper() or lower and not word.islower() or not (upper or lower) and not word[0].isupper() or word.lower() in _PLACE:
+        if upper and not word.isupper() or lower and not word.islower() or not (upper or lower) and not word[0].isupper():
             break
         end = n.end()
         out.append(end)
@@ -383,14 +442,14 @@ def _slots(kind: int, marks: list[str]) -> list[int]:
     return sorted({zlib.crc32(f"{kind}:{m}".encode()) % WIDTH for m in [*marks, "always"] if m})
 
 
-def _extractor(known: Gazetteer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _extractor(known: Gazetteer, texts: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kinds = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(known)
         remembered: dict[str, tuple] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, at = [], 0
                 for line in (text.as_py() or "").split("\n"):
@@ -401,14 +460,14 @@ def _extractor(known: Gazetteer) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     at += len(line) + 1
                 if len(remembered) > REMEMBER:
                     remembered.clear()
-                if rows:
+                if rows or texts:
                     out[0].append(doc)
-                    for i, column in enumerate(zip(*rows, strict=True), 1):
+                    for i, column in enumerate(zip(*rows, strict=True) if rows else [()] * 5, 1):
                         out[i].append(list(column))
-            yield pa.record_batch(
-                [pa.array(out[0], pa.int64()), *(pa.array(c, kinds) for c in out[1:5]), pa.array(out[5], pa.list_(kinds))],
-                names=["doc_id", "kind", "first", "last", "votes", "marks"],
-            )
+                    out[6].append(text.as_py())
+            columns = [pa.array(out[0], pa.int64()), *(pa.array(c, kinds) for c in out[1:5]), pa.array(out[5], pa.list_(kinds))]
+            names = ["doc_id", "kind", "first", "last", "votes", "marks"]
+            yield pa.record_batch([*columns, pa.array(out[6], pa.string())] if texts else columns, names=[*names, "text"] if texts else names)
 
     return run
 
@@ -460,22 +519,16 @@ def train(marks: list[list[int]], targets: np.ndarray, steps: int = 150) -> np.n
     return weights
 
 
-@dataclass(frozen=True)
-class Model:
-    """A trained span classifier with the name parts its candidates were found by."""
-
-    known: Gazetteer
-    weights: np.ndarray
-
-
 def _gazetteer(name_parts: DataFrame) -> Gazetteer:
     """The list of name parts is a small table of fixed size; every task holds it."""
     rows = name_parts.select(F.lower("part_text"), "part_kind").filter("part_text is not null").collect()
     return Gazetteer(frozenset(t for t, k in rows if k == "given"), frozenset(t for t, k in rows if k == "family"))
 
 
-def fit(documents: DataFrame, name_parts: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
-    """Train on all documents (doc_id, text): the model and the durable table of all candidates.
+def fit(documents: DataFrame, name_parts: DataFrame, sample: int = SAMPLE, texts: bool = False) -> tuple[np.ndarray, DataFrame]:
+    """Train on all documents (doc_id, text): the span classifier's weights and the durable table of all candidates.
+
+    The table has a row for each document with candidates or, with ``texts``, for each document, and then its text.
 
     Labellers (formats, gazetteer, words around) vote on every candidate of every whole text. Their reliabilities
     come from the counts of all vote patterns; a logistic classifier is then trained on the resulting chances of at
@@ -483,7 +536,7 @@ def fit(documents: DataFrame, name_parts: DataFrame, sample: int = SAMPLE) -> tu
     """
     ws = Workspace(documents.sparkSession, "personal")
     known = _gazetteer(name_parts)
-    rows = ws.save(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_extractor(known), _ROWS))
+    rows = ws.save(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_extractor(known, texts), _ROWS + (", text string" if texts else "")))
     each = rows.select("doc_id", F.explode(F.arrays_zip("kind", "first", "votes", "marks")).alias("c")).select("doc_id", "c.*")
     counts = {(r[0], r[1]): r[2] for r in each.groupBy("kind", "votes").count().collect()}  # at most 3**6 patterns a kind
     belief = reliabilities(counts)
@@ -493,7 +546,7 @@ def fit(documents: DataFrame, name_parts: DataFrame, sample: int = SAMPLE) -> tu
         each = each.filter(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * sample / total)))
     chosen = each.select("kind", "votes", "marks", order.alias("_o")).orderBy("_o").limit(sample).collect()
     weights = train([r["marks"] for r in chosen], np.array([belief[r["kind"], r["votes"]] for r in chosen]))
-    return Model(known, weights), rows
+    return weights, rows
 
 
 def _choose(weights: np.ndarray, rows: list[tuple]) -> list[tuple[int, int, int]]:
@@ -514,8 +567,7 @@ def find_personal(documents: DataFrame, name_parts: DataFrame, sample: int = SAM
 
     Null and empty texts have no rows. Repeated texts are searched once in a task and found in each document.
     """
-    model, rows = fit(documents, name_parts, sample)
-    weights = model.weights
+    weights, rows = fit(documents, name_parts, sample)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -532,33 +584,23 @@ def find_personal(documents: DataFrame, name_parts: DataFrame, sample: int = SAM
 def mask_personal(documents: DataFrame, name_parts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The texts with a typed placeholder such as [EMAIL] for each item, otherwise unchanged: doc_id, text, items.
 
-    One row for each document; null texts stay null with 0 items. The trained classifier goes over the texts in
-    place, so texts are never shuffled.
+    One row for each document; null texts stay null with 0 items. Texts are searched once and never shuffled: they
+    stand beside their candidates in the durable table until the classifier is trained.
     """
-    model, _ = fit(documents, name_parts, sample)
+    weights, rows = fit(documents, name_parts, sample, texts=True)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model.known)
-        remembered: dict[str, list] = {}
         for batch in batches:
             texts, items = [], []
-            for value in batch.column(1).to_pylist():
-                count, lines = 0, []
-                for line in (value or "").split("\n"):
-                    spans = remembered.get(line)
-                    if spans is None:
-                        spans = _choose(model.weights, [(c.kind, c.first, c.last, _slots(c.kind, c.marks)) for c in scanner.candidates(line)])
-                        remembered[line] = spans
-                    at, parts = 0, []
-                    for kind, first, last in spans:
-                        parts += [line[at:first], f"[{KINDS[kind].upper()}]"]
-                        at = last
-                    lines.append("".join([*parts, line[at:]]))
-                    count += len(spans)
-                if len(remembered) > REMEMBER:
-                    remembered.clear()
-                texts.append(None if value is None else "\n".join(lines))
-                items.append(count)
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(items, pa.int32())], names=["doc_id", "text", "items"])
-
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(mask, "doc_id bigint, text string, items int")
+            table = batch.to_pydict()
+            for text, *columns in zip(table["text"], table["kind"], table["first"], table["last"], table["marks"], strict=True):
+                spans = _choose(weights, list(zip(*columns, strict=True)))
+                at, parts = 0, []
+                for kind, first, last in spans:
+                    parts += [text[at:first], f"[{KINDS[kind].upper()}]"]
+                    at = last
+                texts.append("".join([*parts, text[at:]]) if parts else text)
+                items.append(len(spans))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(items, pa.int32())], names=["doc_id", "text", "items"])
+
+    return rows.select("doc_id", "kind", "first", "last", "marks", "text").mapInArrow(mask, "doc_id bigint, text string, items int")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,8 +71,8 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     sizes = pieces.groupBy("pack_id", "piece_tokens").agg(F.count("*").alias("n"))
 
     def bound(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        number = np.repeat(pdf["piece_tokens"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame({"pack_id": [keys[0]], "at_least": [container_bound(number, capacities[keys[0]])]})
+        at_least = container_bound(pdf["piece_tokens"].to_numpy(), capacities[keys[0]], pdf["n"].to_numpy())
+        return pd.DataFrame({"pack_id": [keys[0]], "at_least": [at_least]})
 
     return made.join(sizes.groupBy("pack_id").applyInPandas(bound, "pack_id int, at_least bigint"), "pack_id")
 

@@ -136,6 +136,8 @@ def test_bounds_and_best_fit():
             load[p] += s
         assert max(load.values()) <= capacity
         assert container_bound(np.array(sizes), capacity) <= len(load)
+        different, times = np.unique(sizes, return_counts=True)
+        assert container_bound(different, capacity, times) == container_bound(np.array(sizes), capacity)
     assert container_bound(np.array([6, 6, 6]), 10) == 3 and container_bound(np.array([], dtype=int), 10) == 0
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from held_out import HELD_OUT, PLAIN
 from strandloom.llm.personal import Gazetteer, Scanner, _choose, _slots, _unpack_votes, _pack_votes, find_personal, mask_personal, reliabilities
 
 PARTS = [("Anna", "given"), ("Lena", "given"), ("Tomas", "given"), ("Meerquist", "family"), ("Lindquist", "family"), ("Bergquist", "family"), ("Rosquist", "family"), (None, "given")]
@@ -44,6 +45,18 @@ def test_found_and_masked(tables):
     assert masked[2] == ("call [PHONE] for free soup ask for [NAME]", 2)
 
 
+def test_held_out(spark, tables):
+    """Sentences in words that no training text has, with names that no list has."""
+    documents, parts = tables
+    rows = [(10_000 + i, text) for i, (text, _) in enumerate(HELD_OUT)] + [(20_000 + i, text) for i, text in enumerate(PLAIN)]
+    texts = dict(rows)
+    every = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {(r["doc_id"], r["kind"], texts[r["doc_id"]][r["start_pos"] - 1 : r["end_pos"]]) for r in find_personal(every, parts).collect() if r["doc_id"] in texts}
+    wanted = {(10_000 + i, *item) for i, (_, items) in enumerate(HELD_OUT) for item in items}
+    assert len(wanted & found) >= 0.9 * len(wanted), sorted(wanted - found)
+    assert len(found - wanted) <= 0.15 * len(found), sorted(found - wanted)
+
+
 def test_empty(spark, tables):
     assert find_personal(tables[0].limit(0), tables[1]).count() == 0
 
