@@ -47,6 +47,7 @@ _PHONE = re.compile(
 )
 #: A stretch of digits and signs between them: where numbers may be.
 _DIGITS = re.compile(r"\d[\d \xa0.\-‑–/()]{3,}\d")
+_DIGIT = re.compile(r"\d")
 _BEFORE = re.compile(r"[\w.,/+\-‑–(]")
 _ID = re.compile(
     r"(?:"
@@ -122,7 +123,7 @@ _TITLE = r"(?:dr|mr|mrs|ms|miss|sir|prof|professor|hr|frau|herr|herrn|monsieur|m
 _PERSON = (
     rf"{_TITLE}|hi|hello|hey|dear|hallo|liebe|lieber|bonjour|cher|chère|hola|querid[oa]|estimad[oa]|"
     r"holder|owner|inhaber(?:in)?|titular|titulaire|au nom de|signed|gezeichnet|signé(?: par)?|firmado(?: por)?|regards,?|sincerely,?|grüße,?|cordialement,?|saludos,?|attn\.?:?|c/o|"
-    r"name is|named|my name's|name:|heißt|heiße|namens|(?:m|s)['’]appelle|nommée?|me llamo|se llama|llamad[oa]|nombre:|nom ?:|contact|contact[ \xa0]*[=:]|kontakt:?|ansprechpartner(?:in)?:?|"
+    r"name is|named|name's|name:|heißt|heiße|namens|appelle|nommée?|llamo|llama|llamad[oa]|nombre:|nom ?:|contact|contact[ \xa0]*[=:]|kontakt:?|ansprechpartner(?:in)?:?|"
     r"ask(?:ed)? for|ask|(?:talk|speak|spoke)(?:ed)? (?:to|with)|met|meet|thank|thanks to|phone|ring|write to|wrote to|written by|edited by|gespräch mit|sprechen mit|fragen sie nach|(?:wende|wenden) (?:dich|sie sich) an|bitte an|écrire à|écrivez à|"
     r"entretien avec|parl\w+ (?:à|avec)|demande[rz]?|adressez-vous à|escribir a|escriba a|hablad?[oar]+ con|conversación con|entrevista (?:a|con)|pregunt\w+ por|"
     r"colleague|friend|neighbou?r|teacher|boss|manager|brother|sister|mother|father|wife|husband|son|daughter|uncle|aunt|cousin|doctor|patient|student|client|customer|author|curator|"
@@ -138,7 +139,7 @@ _DOING = (
 _RIGHT = re.compile(
     rf"(?i)^(?:[ \xa0](?:(?:{_DOING})(?!\w)|from[ \xa0]|\(\+?[\d(]|\((?:tel|tél)|–[ \xa0]\S+|\|\|)|['’]s[ \xa0]{_ID_WORD}|['’]s[ \xa0](?:personal|n°|phone|number|house|e-?mail|address)|,[ \xa0](?:phone|tel|tél)|<br|\s*\[\[(?:user|benutzer|usuario|utilisateur):|$)"
 )
-_STARTS = re.compile(rf"(?i)(?:(?<!\w)(?:{_PERSON})|—|(?:^|\s)\*|\|\|)[ \xa0]+(?=[^\W\d_])")
+_STARTS = re.compile(rf"(?i)(?:(?<!\w)(?:{_PERSON})|—|(?<!\S)\*|\|\|)[ \xa0]+(?=[^\W\d_])")
 _ENDS = re.compile(rf"(?i)[ \xa0](?:{_DOING})(?!\w)|['’]s (?:{_ID_WORD}|personal|n°|phone|number|e-?mail|address)")
 #: What doesn't follow people: coordinates, a year of description, an eponym's noun, the rest of a compound or link.
 _NEVER = re.compile(r"(?i)^(?:[ \xa0]?\(-?\d+\.\d+|,[ \xa0]\d{4}\b|[ \xa0](?:index|method|test|theorem|syndrome|disease|effect|law|algorithm|equation|process|scale|constant|model|formula)\b|–\w|\]\]|\|(?!\|))")
@@ -175,7 +176,10 @@ class Candidate:
 
 _HINTS = {
     "email": ("@", "(at)", "[at]", "&#64;", " dot ", " at "),
-    "street": tuple({*(f" {w}" for w in (*_STREET_EN, "rd", "ln", "ave", "av", "cres", "dr", "blvd", "sq", "gdns")), *_STREET_FR, *_STREET_ES, *_STREET_DE, "am ", "an der ", "auf de", "zum ", "zur ", "beim "}),
+    "en": tuple(f" {w}" for w in (*_STREET_EN, "rd", "ln", "ave", "av", "cres", "dr", "blvd", "sq", "gdns")),
+    "fr": tuple(_STREET_FR),
+    "es": tuple(_STREET_ES),
+    "de": (*_STREET_DE, "am ", "an der ", "auf der ", "auf dem ", "zum ", "zur ", "beim "),
     "start": (
         "dr", "mr", "ms", "miss", "sir", "prof", "hr", "frau", "herr", "monsieur", "madame", "mme", "mlle", "señor", "sr", "don", "hi", "hello", "hey", "dear", "hallo", "liebe", "bonjour", "cher", "chère", "hola", "querid", "estimad",
         "holder", "owner", "inhaber", "titula", "au nom de", "signed", "gezeichnet", "signé", "firmado", "regards", "sincerely", "grüße", "cordialement", "saludos", "attn", "c/o", "name", "heiß", "appelle", "nommé", "llam", "nombre", "nom",
@@ -213,25 +217,42 @@ class Scanner:
         low = line.lower()
         if len(low) != len(line):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in line)
-        hints, given, family = set(), [], []
+        hints: set[str] = set()
+        spots: dict[str, list[int]] = {"given": [], "family": [], "start": [], "end": []}
+        size_of_line = len(line)
         for end, (hint, size) in self.literals.iter(low):
-            if hint in ("given", "family"):
-                at = end - size + 1
-                if line[at].isupper() and (not at or not line[at - 1].isalpha()) and (end + 1 == len(line) or not line[end + 1].isalpha()):
-                    (given if hint == "given" else family).append(at)
-            else:
+            at = end - size + 1
+            if hint == "email":
+                hints.add(hint)
+            elif hint == "end":
+                spots[hint].append(at)
+            elif hint == "start":
+                if not at or not line[at].isalpha() or not line[at - 1].isalnum():
+                    spots[hint].append(at)
+            elif hint in spots:
+                if line[at].isupper() and (not at or not line[at - 1].isalpha()) and (end + 1 == size_of_line or not line[end + 1].isalpha()):
+                    spots[hint].append(at)
+            elif hint not in hints and (end + 1 == size_of_line or not line[end + 1].isalpha() or line[end] == " ") and _house_near(line, hint, at, end + 1):
                 hints.add(hint)
         found = _emails(line) if "email" in hints else []
         numbers = list(_DIGITS.finditer(line))
         if numbers:
             found += _numbers(line, numbers)
-        if "street" in hints and any(map(str.isdigit, line)):
-            found += _addresses(line)
-        if given or family or "start" in hints or "end" in hints:
-            found += _names(line, self, given, family, "start" in hints, "end" in hints)
+        styles = hints - {"email"}
+        if styles:
+            found += _addresses(line, styles)
+        if any(spots.values()):
+            found += _names(line, self, spots)
         return found
 
 
+def _house_near(line: str, style: str, first: int, after: int) -> bool:
+    """A digit where the house number of an address of this style would be."""
+    if style in ("en", "fr"):
+        return bool(_DIGIT.search(line, max(0, first - (90 if style == "en" else 14)), first))
+    return bool(_DIGIT.search(line, after, after + (90 if style == "es" else 60)))
+
+
 def _emails(line: str) -> list[Candidate]:
     found = []
     for m in _EMAIL.finditer(line):
@@ -286,9 +307,11 @@ def _number(line: str, kind: int, first: int, last: int) -> Candidate | None:
     return _candidate(line, kind, first, last, votes, ["shape=" + shape])
 
 
-def _addresses(line: str) -> list[Candidate]:
+def _addresses(line: str, styles: set[str]) -> list[Candidate]:
     found = []
     for pattern, style in _ADDRESS:
+        if style not in styles:
+            continue
         for m in pattern.finditer(line):
             first, last = m.span()
             street, town = m["street"], m["town"]
@@ -314,7 +337,7 @@ def _fits(street: str, town: str) -> bool:
     return town[0].isupper()
 
 
-def _names(line: str, scanner: Scanner, given_at: list[int], family_at: list[int], starts: bool, ends: bool) -> list[Candidate]:
+def _names(line: str, scanner: Scanner, spots: dict[str, list[int]]) -> list[Candidate]:
     known = scanner.known
     seen: dict[tuple[int, int], Candidate] = {}
 
@@ -359,21 +382,21 @@ def _names(line: str, scanner: Scanner, given_at: list[int], family_at: list[int
             if extra := re.match(rf"(?:{_GAP}{_L}\.)+", line[n.end() :]):
                 consider(at, n.end() + extra.end())
 
-    if starts:
-        for m in _STARTS.finditer(line):
+    for at in spots["start"]:
+        if m := _STARTS.match(line, at):
             all_from(m.end())
-    if ends:
-        for m in _ENDS.finditer(line):
-            begin = max(0, m.start() - 80)
-            for n in re.finditer(rf"(?<![\w.])(?={_L})", line[begin : m.start()]):
-                head = line[begin + n.start() : m.start()]
+    for at in spots["end"]:
+        if _ENDS.match(line, at):
+            begin = max(0, at - 80)
+            for n in re.finditer(rf"(?<![\w.])(?={_L})", line[begin:at]):
+                head = line[begin + n.start() : at]
                 if _TURNED.fullmatch(head) or _FULL.fullmatch(head):
-                    consider(begin + n.start(), m.start())
-    for at in given_at:
+                    consider(begin + n.start(), at)
+    for at in spots["given"]:
         all_from(at)
         if b := re.search(rf"(?<![\w\-])({_FAMILY}),{_GAP}$", line[max(0, at - 60) : at]):
             all_from(max(0, at - 60) + b.start())
-    for at in family_at:
+    for at in spots["family"]:
         for n in _HEADS.finditer(line, max(0, at - 60), at):
             all_from(n.start(1))
         all_from(at)
