@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
@@ -149,6 +150,167 @@ def aligned_pair(query: Column, reference: Column, local: bool = False, gap_open
     return align(query, reference)
 
 
+#: Cells whose directions a task keeps at a time; more are traced in blocks of rows, each filled a second time.
+CELLS = 1 << 25
+_DIAGONAL, _UP, _LEFT, _UP_ON, _LEFT_ON = 1, 2, 3, 4, 8
+_EQUAL = 1 << 20  # a cell's number: score, then the equal letters of the alignment that leads to it
+
+
+class _Rows:
+    """Gotoh's recursion over a batch of pairs, a row of all pairs at a time."""
+
+    def __init__(self, a: list[str], b: list[str], table: np.ndarray, local: bool, gap_open: int, gap_extend: int):
+        self.x, self.y, self.local = _codes(a), _codes(b), local
+        self.scores = table.astype(np.int64) * _EQUAL
+        self.scores[np.arange(128), np.arange(128)] += 1
+        self.open, self.extend = gap_open * _EQUAL, gap_extend * _EQUAL
+        self.places = np.arange(self.y.shape[1] + 1, dtype=np.int64) * self.extend
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        row = np.zeros((len(self.x), self.y.shape[1] + 1), np.int64)
+        if not self.local:
+            row[:, 1:] = -self.places[1:] - self.open
+        return row, np.full_like(row, -(1 << 60))
+
+    def next(self, i: int, row: np.ndarray, up: np.ndarray, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row i from the row before; ``kept`` takes where each cell comes from."""
+        opened = row - self.open
+        on = up > opened
+        up = np.maximum(opened, up) - self.extend
+        cell = up.copy()
+        straight = row[:, :-1] + self.scores[self.x[:, i - 1][:, None], self.y]
+        cell[:, 1:] = np.maximum(straight, up[:, 1:])
+        if self.local:
+            cell = np.maximum(cell, 0)
+        level = cell + self.places
+        run = np.maximum.accumulate(level, axis=1)
+        left = run[:, :-1] - self.places[1:] - self.open
+        out = cell.copy()
+        out[:, 1:] = np.maximum(cell[:, 1:], left)
+        if kept is not None:
+            kept[:] = np.where(out == up, _UP, 0)
+            kept[:, 1:] = np.where(out[:, 1:] == straight, _DIAGONAL, np.where(left > cell[:, 1:], _LEFT, kept[:, 1:]))
+            if self.local:
+                kept[out == 0] = 0
+            kept |= np.where(on, _UP_ON, 0).astype(np.uint8)
+            kept[:, 1:] |= np.where(run[:, :-1] > level[:, :-1], _LEFT_ON, 0).astype(np.uint8)
+        return out, up
+
+
+def align_paths(a: list[str], b: list[str], table: np.ndarray, local: bool, gap_open: int, gap_extend: int, cells: int = CELLS) -> list[tuple]:
+    """The best alignment of each pair: score, first and last letter of a, first and last letter of b (from 1), operations.
+
+    Operations are M, I (a letter of a alone) and D (of b alone). Of equally good alignments one with most equal
+    letters is taken, a local one that ends first in a. A local alignment without a positive score is empty, with
+    zeros for places.
+    """
+    rows = _Rows(a, b, table, local, gap_open, gap_extend)
+    n, high, wide = len(a), rows.x.shape[1], rows.y.shape[1] + 1
+    la, lb = np.array([len(t) for t in a], np.int64), np.array([len(t) for t in b], np.int64)
+    block = max(1, min(high, cells // max(1, n * wide)))
+    row, up = rows.start()
+    best = np.where(la == 0, row[np.arange(n), lb], 0) if not local else np.zeros(n, np.int64)
+    end = np.stack([la, lb], axis=1) if not local else np.zeros((n, 2), np.int64)
+    states, kept = [], np.zeros((block, n, wide), np.uint8)
+    for i in range(1, high + 1):
+        if (i - 1) % block == 0:
+            states.append((row, up))
+        row, up = rows.next(i, row, up, kept[(i - 1) % block] if high <= block else None)
+        if local:
+            top = row.max(axis=1)
+            better = (top > best) & (i <= la)
+            best = np.where(better, top, best)
+            end[better] = np.stack([np.full(n, i), row.argmax(axis=1)], axis=1)[better]
+        else:
+            best = np.where(i == la, row[np.arange(n), lb], best)
+    at = [[int(i), int(j), 0] for i, j in end]
+    steps: list[list[str]] = [[] for _ in range(n)]
+    for no in range(len(states) - 1, -1, -1):
+        first = no * block + 1
+        if high > block:
+            row, up = states[no]
+            for i in range(first, min(first + block, high + 1)):
+                row, up = rows.next(i, row, up, kept[i - first])
+        for k in range(n):
+            _trace(kept[:, k], first, at[k], steps[k])
+    out = []
+    for k in range(n):
+        i, j, _ = at[k]
+        if not local:  # what is left runs along an edge
+            steps[k] += ["I"] * i + ["D"] * j
+            i = j = 0
+        if not steps[k]:
+            out.append((int(best[k]) // _EQUAL, 0, 0, 0, 0, ""))
+            continue
+        cigar = "".join(f"{len(list(g))}{op}" for op, g in groupby(reversed(steps[k])))
+        out.append((int(best[k]) // _EQUAL, i + 1, int(end[k][0]), j + 1, int(end[k][1]), cigar))
+    return out
+
+
+def _trace(kept: np.ndarray, first: int, at: list[int], steps: list[str]) -> None:
+    """Go back from a cell (row, column, state) to the row before ``first``, or to where a local alignment begins."""
+    i, j, state = at
+    while i >= first and state >= 0:
+        code = int(kept[i - first, j])
+        state = state or code & 3
+        if not state:  # a local alignment begins here
+            state = -1
+        elif state == _DIAGONAL:
+            steps.append("M")
+            i, j, state = i - 1, j - 1, 0
+        elif state == _UP:
+            steps.append("I")
+            state = _UP if code & _UP_ON else 0
+            i -= 1
+        else:
+            steps.append("D")
+            state = _LEFT if code & _LEFT_ON else 0
+            j -= 1
+    at[:] = i, j, state
+
+
+_PATH = "score int, matches int, mismatches int, insertions int, deletions int, query_first int, query_last int, reference_first int, reference_last int, cigar string"
+
+
+def aligned_path(query: Column, reference: Column, local: bool = False, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, matrix: dict | None = None) -> Column:
+    """The best alignment of two sequences with its places and operations, as a struct; null if one sequence is null (see :func:`align_paths`)."""
+    table = lookup(matrix or blosum62())
+
+    @F.pandas_udf(_PATH)
+    def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out: list[tuple] = [(None,) * 10] * len(a)
+        known = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+        sizes = np.array([(len(a.iloc[i]), len(b.iloc[i])) for i in known], np.int64).reshape(-1, 2)
+        order = known[np.lexsort((sizes[:, 1], sizes[:, 0] // 64))]
+        for part in np.array_split(order, -(-len(order) // BATCH)) if len(order) else []:
+            x, y = a.iloc[part].tolist(), b.iloc[part].tolist()
+            for k, (score, i, ie, j, je, cigar) in zip(part, align_paths(x, y, table, local, gap_open, gap_extend), strict=True):
+                out[k] = (score, *_counts(a.iloc[k].upper(), b.iloc[k].upper(), i, j, cigar), i, ie, j, je, cigar)
+        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _PATH.split(", ")])
+        return frame.astype({c: "Int32" for c in frame.columns if c != "cigar"})
+
+    return align(query, reference)
+
+
+def _counts(a: str, b: str, i: int, j: int, cigar: str) -> tuple[int, int, int, int]:
+    """Equal, different, inserted and deleted letters of an alignment that begins at i and j."""
+    counts = [0, 0, 0, 0]
+    i, j, number = i - 1, j - 1, ""
+    for c in cigar:
+        if c.isdigit():
+            number += c
+            continue
+        n, number = int(number), ""
+        if c == "M":
+            same = sum(p == q for p, q in zip(a[i : i + n], b[j : j + n], strict=True))
+            counts[0] += same
+            counts[1] += n - same
+        counts[2] += n * (c == "I")
+        counts[3] += n * (c == "D")
+        i, j = i + n * (c != "D"), j + n * (c != "I")
+    return tuple(counts)
+
+
 def pair_scores(matrix: dict[tuple[str, str], int] | None = None) -> dict[str, int]:
     """A matrix as a map from two letters, for expressions."""
     return {a + b: v for (a, b), v in (matrix or blosum62()).items()}

@@ -16,6 +16,26 @@ BASES = "TCAG"
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
+# What other genetic codes (by number) read differently from the standard one (11 reads alike).
+OTHER_CODES = {
+    2: {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"}, 3: {"ATA": "M", "CTT": "T", "CTC": "T", "CTA": "T", "CTG": "T", "TGA": "W"}, 4: {"TGA": "W"},
+    5: {"AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"}, 6: {"TAA": "Q", "TAG": "Q"}, 9: {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"}, 10: {"TGA": "C"}, 11: {}, 12: {"CTG": "S"},
+    13: {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"}, 14: {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"}, 15: {"TAG": "Q"}, 16: {"TAG": "L"},
+    21: {"TGA": "W", "ATA": "M", "AGA": "S", "AGG": "S", "AAA": "N"}, 22: {"TCA": "*", "TAG": "L"}, 23: {"TTA": "*"}, 24: {"AGA": "S", "AGG": "K", "TGA": "W"}, 25: {"TGA": "G"}, 26: {"CTG": "A"},
+}
+AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWYBJOUXZ"
+
+
+def genetic_code(number: int = 1) -> str:
+    """The amino acids of all codons in the order T, C, A, G of a genetic code; ValueError if the number is unknown."""
+    if number != 1 and number not in OTHER_CODES:
+        raise ValueError(f"unknown genetic code {number}")
+    code = list(STANDARD_CODE)
+    for (a, b, c), amino in OTHER_CODES.get(number, {}).items():
+        code[BASES.index(a) * 16 + BASES.index(b) * 4 + BASES.index(c)] = amino
+    return "".join(code)
+
+
 def ungapped(sequence: Column) -> Column:
     return F.translate(sequence, GAP, "")
 
@@ -83,6 +103,11 @@ def is_nucleotide(sequence: Column) -> Column:
     return sequence.rlike("^[ACGTUNRYSWKMBDHVacgtunryswkmbdhv-]*$")
 
 
+def is_amino_acid(sequence: Column) -> Column:
+    """Amino acid letters, gaps and stops of either case only, and not only such as stand for nucleotides too."""
+    return sequence.rlike(f"(?i)^[{AMINO_ACIDS}*-]*$") & ~is_nucleotide(sequence)
+
+
 def translated(sequence: Column, frame: int = 1, code: str = STANDARD_CODE) -> Column:
     """Amino acids of one reading frame (1..3, or -1..-3 on the other strand) of a sequence without gaps.
 

@@ -77,7 +77,9 @@ def gap_free_matches(pairs: DataFrame, records: DataFrame, index: str, sequence:
     ``index``; of several the smallest sequence counts.
     """
     one = records.filter(F.col(index).isNotNull() & F.col(sequence).isNotNull()).groupBy(F.col(index).alias("_i")).agg(F.min(F.upper(sequence)).alias("_s")).filter("_s <> ''")
-    both = pairs.join(one.select(F.col("_i").alias("center"), F.col("_s").alias("a")), "center").join(one.select(F.col("_i").alias("member"), F.col("_s").alias("b")), "member")
+    both = pairs.select("center", "member")
+    for end, text in (("center", "a"), ("member", "b")):  # a center with a large part of the pairs meets its text by broadcast
+        both = lookup_join(both, one.select(F.col("_i").alias(end), F.col("_s").alias(text)), end, heavy_keys(pairs, end))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,25 +111,27 @@ def greedy_cover(pairs: DataFrame) -> DataFrame:
 
     Gives record and removed_by (the first center that removed it, null if it stands) for every record of the
     pairs. Of equally large clusters the smaller center comes first. A center is decided once all earlier centers
-    that hold it as a member are; rounds are durable tables.
+    that hold it as a member are; rounds are durable tables, and jobs run while the result is built.
     """
     ws = Workspace(pairs.sparkSession, "cover")
     once = ws.save(pairs.filter("center <> member").select("center", "member").distinct())
-    sizes = once.groupBy("center").agg(F.count("*").alias("n"))
+    sizes = ws.save(once.groupBy("center").agg(F.count("*").alias("n")))
     rank = F.struct((-F.col("n")).alias("n"), F.col("center").alias("c"))
-    ranked = ws.save(once.join(sizes.select("center", rank.alias("rank")), "center"))
-    held = ws.save(ranked.join(sizes.select(F.col("center").alias("member"), rank.alias("own")), "member").filter("rank < own").select("center", "member"))
-    undecided = ws.save(sizes.select("center"))
-    open_links, acting = held, None
-    while not undecided.isEmpty():
-        acts = ws.save(undecided.join(open_links.select(F.col("member").alias("center")), "center", "left_anti"))
-        removed = ws.save(open_links.join(acts, "center", "left_semi").select(F.col("member").alias("center")).distinct())
-        acting = acts if acting is None else acting.unionByName(acts)
-        decided = acts.unionByName(removed)
-        undecided = ws.save(undecided.join(decided, "center", "left_anti"))
-        open_links = ws.save(open_links.join(removed, "center", "left_anti").join(decided.select(F.col("center").alias("member")), "member", "left_anti"))
+    heavy = heavy_keys(sizes, "center", once.count(), "n")
+    ranked = ws.save(lookup_join(once, sizes.select("center", rank.alias("rank")), "center", heavy))
+    own = sizes.select(F.col("center").alias("member"), rank.alias("own"))
+    # a center waits for the earlier ones that hold it as a member
+    waiting = ws.save(lookup_join(ranked, own, "member", heavy_keys(ranked, "member")).filter("rank < own").select("center", "member"))
+    gone = []
+    while not waiting.isEmpty():
+        free = waiting.join(waiting.select(F.col("member").alias("center")).distinct(), "center", "left_anti")
+        removed = ws.save(free.select("member").distinct())
+        left = waiting.join(removed, "member", "left_anti").join(removed.withColumnRenamed("member", "center"), "center", "left_anti")
+        waiting = ws.save(left.select("center", "member"))
+        gone.append(removed)
+    acting = ranked
+    if gone:
+        acting = lookup_join(ranked, ws.together(*gone).select(F.col("member").alias("center")), "center", heavy, "left_anti")
+    first = acting.groupBy("member").agg(F.min("rank").alias("r"))
     records = once.select(F.explode(F.array("center", "member")).alias("record")).distinct()
-    if acting is None:
-        return records.select("record", F.lit(None).cast("bigint").alias("removed_by"))
-    first = ranked.join(acting, "center", "left_semi").groupBy("member").agg(F.min("rank").alias("r"))
     return records.join(first.select(F.col("member").alias("record"), F.col("r.c").alias("removed_by")), "record", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cig
+from ..functions.identifiers import otu_part
 from ..functions.sequences import canonical, reverse_complement, translated
 from .skew import heavy_keys, lookup_join
 
@@ -74,8 +75,14 @@ def top_percent(hits: DataFrame, percent: float = 10) -> DataFrame:
     return joined.filter(F.col("bitscore") >= F.col("_best") * (1 - percent / 100)).select(*hits.columns)
 
 
-def filter_hits(hits: DataFrame, identity: float = 0, score: float = 0, length: int = 0, query_cover: float = 0) -> DataFrame:
-    """Hits above limits for percentage identity, bitscore, covered subject letters and covered part (%) of the query; 0 switches a limit off."""
+def filter_hits(
+    hits: DataFrame, identity: float = 0, score: float = 0, length: int = 0, query_cover: float = 0, subject_cover: float = 0, evalue: float = 0, markers: DataFrame | None = None
+) -> DataFrame:
+    """Hits within limits for percentage identity, bitscore, covered subject letters, covered part (%) of query and subject, and evalue; 0 switches a limit off.
+
+    subject_cover needs ``markers`` (subjectid, reference_len); hits on other subjects are left out then. evalue is an
+    upper limit on the column of that name.
+    """
     span = F.abs(F.col("subjectend").cast("bigint") - F.col("subjectstart")) + 1
     cover = 100 * (F.abs(F.col("queryend").cast("bigint") - F.col("querystart")) + 1) / F.length("full_querysequence")
     keep = finite("bitscore")
@@ -87,7 +94,20 @@ def filter_hits(hits: DataFrame, identity: float = 0, score: float = 0, length:
         keep = keep & (span >= length)
     if query_cover:
         keep = keep & (F.col("full_querysequence") != "") & (cover >= query_cover)
-    return hits.filter(keep)
+    if evalue:
+        keep = keep & (F.col("evalue") <= evalue)
+    if not subject_cover:
+        return hits.filter(keep)
+    sizes = markers.filter("subjectid is not null and reference_len > 0").groupBy("subjectid").agg(F.min("reference_len").alias("_len"))
+    sized = lookup_join(hits.filter(keep), sizes, "subjectid", heavy_keys(hits, "subjectid"))
+    return sized.filter(100 * span / F.col("_len") >= subject_cover).select(*hits.columns)
+
+
+def same_otu_subjects(hits: DataFrame, delimiter: str = "@") -> DataFrame:
+    """Subjects whose hits all come from queries of one OTU: subjectid, otu. Hits without a query count for nothing."""
+    named = hits.filter("subjectid is not null and queryid is not null").groupBy("subjectid")
+    otu = otu_part(F.col("queryid"), delimiter)
+    return named.agg(F.min(otu).alias("otu"), F.max(otu).alias("_other")).filter("otu = _other").select("subjectid", "otu")
 
 
 def dedup_canonical(records: DataFrame, sequence: str, order: list[str]) -> DataFrame:

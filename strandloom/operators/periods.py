@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 
 #: Positions in one block of the first merging step; a hot entity is spread over its blocks.
 BLOCK = 1 << 16
+#: The last position; positions stand for seconds of timestamps and lengths for intervals, which reach no farther.
+LAST = 10**11
 
 
 def covered_periods(intervals: DataFrame, entity: str, first: str | Column, last: str | Column, block: int = BLOCK) -> DataFrame:
     """Maximal runs of covered positions: columns entity, first_pos, last_pos (bigint).
 
     Intervals are closed and may be given with their ends in either order; rows with a null entity or end, or an
-    end outside 1 .. 2**31 - 1, count for nothing. Touching intervals (10 and 11) are one period.
+    end outside 1 .. 10**11, count for nothing. Touching intervals (10 and 11) are one period.
 
     Intervals starting at one position are reduced to the longest before the shuffle, which bounds what a hot
     entity can send. ``session_window`` with the interval's own length as its gap then merges overlaps, first in
     blocks of start positions and then over the entity; what only touches is joined afterwards.
     """
     lo, hi = F.least(_col(first), _col(last)), F.greatest(_col(first), _col(last))
-    usable = _col(first).isNotNull() & _col(last).isNotNull() & (lo >= 1) & (hi < 2**31) & F.col(entity).isNotNull()
+    usable = _col(first).isNotNull() & _col(last).isNotNull() & (lo >= 1) & (hi <= LAST) & F.col(entity).isNotNull()
     longest = (
         intervals.filter(usable)
         .select(F.col(entity).alias("_entity"), lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"))

@@ -35,9 +35,18 @@ def at_positions(records: DataFrame, order: list[str], positions: DataFrame) ->
 
 
 def random_sample(records: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n records chosen by a hash of their key and a seed; mates that share a key are chosen alike."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    return records.orderBy(order, key).limit(n)
+    """n records (all, if fewer) chosen by a hash of their key and a seed; mates that share a key are chosen alike.
+
+    Records whose hash is below a threshold that leaves somewhat more than n are numbered in the order of hash and
+    key, so no task holds the sample. Null keys come first of all. Jobs run while the result is built.
+    """
+    hashed = records.withColumn("_hash", F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit("")))
+    total = records.count()
+    part = min(1.0, 1.1 * n / total + 1e-4) if total else 1.0
+    while part < 1 and hashed.filter(F.col("_hash") < f"{int(part * 16**8):08x}").count() < n:
+        part = min(1.0, 2 * part)
+    few = hashed if part >= 1 else hashed.filter(F.col("_hash") < f"{int(part * 16**8):08x}")
+    return numbered(few, ["_hash", key]).filter(F.col("place") <= n).select(*records.columns)
 
 
 def fraction_count(total: int, fraction: float) -> int:

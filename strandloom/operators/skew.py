@@ -42,3 +42,17 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, heavy: list[Any], h
     is_hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
     few = F.broadcast(right.filter(F.col(key).isin(heavy)))
     return left.filter(is_hot).join(few, key, how).unionByName(left.filter(~is_hot).join(right, key, how))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, heavy: list[Any], salts: int = 64) -> DataFrame:
+    """Inner join of two tables that may both have many rows for a key.
+
+    Rows of the ``heavy`` keys of ``left`` are dealt out to ``salts`` groups by a hash of the whole row; the rows of
+    ``right`` with these keys go to each of the groups. All others go through an ordinary join.
+    """
+    if not heavy:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    dealt = left.filter(is_hot).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    copies = right.filter(F.col(key).isin(heavy)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(copies, [key, "_salt"]).drop("_salt").unionByName(left.filter(~is_hot).join(right, key))

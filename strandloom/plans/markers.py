@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import sequence_part
+from ..functions.identifiers import otu_part, sequence_part
 from ..operators import hits as hit_ops
 from ..operators import stats, stitch
 from ..session import Workspace
@@ -22,6 +22,9 @@ class Settings:
     score: float = 0
     length: int = 0
     query_cover: float = 0
+    subject_cover: float = 0
+    evalue: float = 0
+    top_percent: float = 0
     max_targets: int = 25
     max_hsps: int = 1
     retain_stops: bool = False
@@ -30,6 +33,10 @@ class Settings:
     window: int = 4
     least_mean: float = -7.0
     nucleotides: bool = True
+    gap_open: int = 11
+    gap_extend: int = 1
+    matrix: dict[tuple[str, str], int] | None = None
+    by_species: bool = False
 
 
 @dataclass(frozen=True)
@@ -45,24 +52,41 @@ class Markers:
     def write(self, path: str, overwrite: bool = False) -> None:
         named = self.sequences.withColumn("marker", sequence_part(F.col("subjectid")))
         writers.write_fasta(named, f"{path}/sequences", "subjectid", "residues", by="marker", overwrite=overwrite)
+        if "dna" in named.columns:
+            writers.write_fasta(named, f"{path}/nucleotides", "subjectid", "dna", by="marker", overwrite=overwrite)
         for name in ("statistics", "summary", "coverage", "identity"):
             writers.write_table(getattr(self, name), f"{path}/{name}", overwrite)
 
 
+def _species(hits: DataFrame, markers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subjects told apart by the OTU of the query."""
+    otu = otu_part(F.col("queryid"))
+    named = hits.filter("queryid is not null and subjectid is not null").withColumn("_plain", F.col("subjectid")).withColumn("subjectid", F.concat(otu, F.lit("|"), "subjectid"))
+    pairs = named.select("_plain", F.col("subjectid").alias("_named")).distinct()
+    copies = markers.join(pairs, F.col("subjectid") == F.col("_plain")).withColumn("subjectid", F.col("_named")).drop("_plain", "_named")
+    return named.drop("_plain"), copies
+
+
 def retrieve_markers(hits: DataFrame, markers: DataFrame, settings: Settings | None = None) -> Markers:
     """Filter and rank hits, let the best own each reference position, mask, trim, stitch and summarise.
 
-    No hits give empty sequences and statistics.
+    ``hits`` may come from a table, :func:`strandloom.sources.readers.read_hits` or :func:`strandloom.operators.search.search`.
+    No hits give empty sequences and statistics. With ``by_species`` the hits of each OTU of the queries are stitched
+    for themselves, under the reference's id with the OTU in front (``otu|subjectid``). Jobs run while the result is built.
     """
     s = settings or Settings()
     ws = Workspace(hits.sparkSession, "markers")
-    chosen = hit_ops.filter_hits(hit_ops.distinct_hits(hits), s.identity, s.score, s.length, s.query_cover)
+    if s.by_species:
+        hits, markers = _species(hits, markers)
+    chosen = hit_ops.filter_hits(hit_ops.distinct_hits(hits), s.identity, s.score, s.length, s.query_cover, s.subject_cover, s.evalue, markers)
     chosen = chosen.filter("subjectstart is not null and subjectend is not null")  # else a hit without a place takes another's turn
+    if s.top_percent:
+        chosen = hit_ops.top_percent(chosen, s.top_percent)
     chosen = ws.save(hit_ops.best_targets(chosen, s.max_targets, s.max_hsps))
     regions = ws.save(stitch.masked(stitch.resolve_regions(chosen, s.nucleotides), s.retain_stops, s.retain_ambiguous))
     rows = stitch.stitched_on(regions, markers)
     if s.trim:
-        rows = stitch.trimmed(rows, s.window, s.least_mean)
+        rows = stitch.trimmed(rows, s.window, s.least_mean, gap_open=s.gap_open, gap_extend=s.gap_extend, matrix=s.matrix)
     rows = ws.save(rows)
     table = ws.save(stitch.aligned_statistics(chosen, regions, rows))
     numbers = [c for c, kind in table.dtypes if kind != "string"]

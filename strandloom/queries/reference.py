@@ -14,7 +14,9 @@ from ..functions import sequences as seq
 from ..functions.alignment import aligned_pair, pair_scores
 from ..functions.intervals import Interval, codon, full_to_subject
 from ..operators import cluster, features, hits, sampling, search, stats, stitch
+from ..operators.skew import heavy_keys, lookup_join
 from ..plans.markers import retrieve_markers as plan
+from ..plans.orthologs import compare_orthologs, scored_pairs
 from ..streaming.hits import hits_by_day as by_day
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,17 +262,21 @@ def coordinate_maps(t):
 
 @query("select h.hit_id, h.subjectid, m.otu, m.reference_len from hits h join markers m using (subjectid)")
 def hits_with_reference(t):
-    return t("hits").join(t("markers").select("subjectid", "otu", "reference_len"), "subjectid").select("hit_id", "subjectid", "otu", "reference_len")
+    found = lookup_join(t("hits").select("hit_id", "subjectid"), t("markers").select("subjectid", "otu", "reference_len"), "subjectid", heavy_keys(t("hits"), "subjectid"))
+    return found.select("hit_id", "subjectid", "otu", "reference_len")
 
 
 @query("select hit_id, queryid from hits where queryid is not null and queryid not in (select seq_id from sequences where seq_id is not null)")
 def orphan_hits(t):
-    return t("hits").filter("queryid is not null").join(t("sequences"), F.col("queryid") == F.col("seq_id"), "left_anti").select("hit_id", "queryid")
+    known = t("sequences").filter("seq_id is not null").select(F.col("seq_id").alias("queryid")).distinct()
+    rows = t("hits").filter("queryid is not null").select("hit_id", "queryid")
+    return lookup_join(rows, known, "queryid", heavy_keys(rows, "queryid"), "left_anti").select("hit_id", "queryid")
 
 
 @query("select seq_id, loaded_at, length(sequencedata)::int n from sequences where seq_id in (select queryid from hits)")
 def select_sequences(t):
-    return t("sequences").join(t("hits"), F.col("queryid") == F.col("seq_id"), "left_semi").select("seq_id", "loaded_at", F.length("sequencedata").alias("n"))
+    wanted = t("hits").filter("queryid is not null").select(F.col("queryid").alias("seq_id")).distinct()  # combined before the shuffle
+    return t("sequences").join(wanted, "seq_id", "left_semi").select("seq_id", "loaded_at", F.length("sequencedata").alias("n"))
 
 
 @query("select subjectid, min(hit_id) first_hit, count(*) hits from hits where subjectid is not null group by subjectid")
@@ -540,10 +546,7 @@ def align_global(t):
 def score_alignment(t):
     """The best hit of each subject aligned locally: lengths, counts, coverage and identity."""
     best = hits.best_hit_per_subject(t("hits").filter("translated_querysequence is not null and subjectsequence is not null"))
-    rows = best.select("subjectid", F.length("translated_querysequence").alias("query_len"), F.length("subjectsequence").alias("reference_len"), aligned_pair(F.col("translated_querysequence"), F.col("subjectsequence"), local=True).alias("a")).select("subjectid", "query_len", "reference_len", "a.*")
-    distance = F.col("mismatches") + F.col("insertions") + F.col("deletions")
-    cover = F.when(F.col("reference_len") > 0, F.bround(100 * (F.col("matches") + F.col("mismatches")) / F.col("reference_len"), 2)).otherwise(0.0)
-    return rows.select("*", distance.alias("distance"), cover.alias("query_cover"), cig.gap_excluded_identity(F.col("matches"), F.col("mismatches")).alias("percent_identity"))
+    return scored_pairs(best, "translated_querysequence", "subjectsequence", "subjectid")
 
 
 @query(f"""with {_TRANSLATE}, d as (select distinct seq_id, frame, array_to_string(list_transform(k, lambda c: case when regexp_full_match(c, '[TCAG]{{3}}')
@@ -558,10 +561,20 @@ def seed_join(t):
 
 @query()
 def translated_search(t):
-    """Contigs searched against the references: seeds, then local alignment of the best frame."""
-    contigs = t("sequences").filter("sequencedata is not null").groupBy("seq_id").agg(F.min("sequencedata").alias("sequencedata"))
-    refs = t("markers").filter("sequencedata is not null").groupBy("subjectid").agg(F.min("sequencedata").alias("sequencedata"))
-    return search.search(contigs, refs)
+    """All versions of all contigs searched against the references: seeds, then local alignment of the best frame."""
+    return search.search(t("sequences"), t("markers"))
+
+
+@query()
+def searched_markers(t):
+    """Contigs and references in, marker statistics out: the search's hits go through the whole marker job."""
+    return plan(search.search(t("sequences"), t("markers")), t("markers")).statistics
+
+
+@query()
+def ortholog_comparison(t):
+    """The best contig of each reference aligned with it as a whole."""
+    return compare_orthologs(t("sequences"), t("markers"), nucleotides=True).statistics
 
 
 # ---- k-mers
@@ -648,10 +661,22 @@ def gff_lines(t):
 
 @query("""select feature_no, id is not null and id <> '' has_id, len(parent)::int parents from features""")
 def gff_round_trip(t):
-    """Attributes written as text and parsed again."""
+    """Attributes written as text and parsed again; text can't tell [] from [''], so parents without any letter are counted in the table."""
+    parsed = _parsed(t).select("feature_no", "id", F.col("parent").alias("_parsed")).join(t("features").select("feature_no", "parent"), "feature_no")
+    parents = F.when(F.array_join("parent", "") == "", F.size("parent")).otherwise(F.size("_parsed"))
+    return parsed.select("feature_no", (F.coalesce("id", F.lit("")) != "").alias("has_id"), parents.alias("parents"))
+
+
+def _parsed(t) -> DataFrame:
     rows = t("features")
-    parsed = rows.select("feature_no", "parent", features.parse_attributes(features.attribute_text(rows)).alias("m"))
-    return parsed.select("feature_no", (F.coalesce(F.element_at("m", "ID")[0], F.lit("")) != "").alias("has_id"), F.size("parent").alias("parents"))
+    return features.typed_attributes(rows.select("feature_no", features.attribute_text(rows, encoded=True).alias("attributes"))).drop("attributes")
+
+
+@query("""select feature_no, id, feature_name, array_to_string(alias_list, '|') alias_list, array_to_string(parent, '|') parent, target, gap, derivesfrom, note,
+          array_to_string(dbcrossreference, '|') dbcrossreference, array_to_string(ontologyterm, '|') ontologyterm, iscircular from features""")
+def gff_typed(t):
+    """Every attribute written as text and parsed again, lists joined by '|'."""
+    return _parsed(t).withColumns({c: F.array_join(c, "|") for c in features.LISTS})
 
 
 @query("select feature_no from features where not coalesce(seqid is not null and start_ >= 1 and start_ <= end_, false)")
@@ -685,6 +710,18 @@ def gff_orphan_derives(t):
     return features.orphan_derives(t("features")).select("feature_no", "derivesfrom")
 
 
+@query(rf"""select feature_no, 'start_end' problem from features where not coalesce(seqid is not null and start_ >= 1 and start_ <= end_, false)
+          union select feature_no, 'cds_phase' from features where ftype = 'CDS' and phase is null
+          union select feature_no, 'parent' from (select feature_no, regexp_replace(x, '^\s+|\s+$', '', 'g') p from (select feature_no, unnest(string_split(y, ',')) x from (select feature_no, unnest(parent) y from features))) where p not in ({_ID})
+          union select feature_no, 'target' from features where target is not null and (not regexp_full_match(target, '\S+ \d+ \d+( [+-])?') or split_part(target, ' ', 1) not in ({_ID}))
+          union select feature_no, 'gap' from features where gap is not null and not regexp_full_match(gap, '[DFIMR]\d+( [DFIMR]\d+)*')
+          union select feature_no, 'gap_target' from features where gap is not null and target is null
+          union select feature_no, 'derives' from features where derivesfrom is not null and derivesfrom not in ({_ID})""")
+def gff_problems(t):
+    """All checks of feature records together."""
+    return features.problems(t("features"))
+
+
 # ---- sampling and several runs
 
 @query("select seq_id, loaded_at from (select *, row_number() over (order by seq_id, loaded_at, sequencedata nulls first) r from sequences) where r > 50 and r <= 300")

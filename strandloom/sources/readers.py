@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identifiers import otu_part
+from ..functions.sequences import ungapped
+from ..operators.features import typed_attributes
+
 FASTA_EXTENSIONS = ("fa", "fas", "fasta", "faa", "fna")
 FASTQ_EXTENSIONS = ("fq", "fastq")
 HITS = (
@@ -37,34 +38,70 @@ def read_fastq(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
     """FASTA or FASTQ, told by content: file, id, sequencedata. ValueError if the files are not all of one kind."""
-    kinds = {sniff(p) for p in paths}
+    kinds = {sniff(spark, p) for p in paths}
     if len(kinds) != 1:
         raise ValueError("files must be all FASTA or all FASTQ")
     return (read_fasta if kinds == {"FASTA"} else read_fastq)(spark, *paths).select("file", "id", "sequencedata")
 
 
-def sniff(path: str) -> str:
-    """FASTA or FASTQ by the first sign of a local file; ValueError for anything else."""
-    with (gzip.open if is_gzip(path) else open)(path, "rb") as f:
-        first = f.read(4096).lstrip()[:1]
+def read_contigs(spark: SparkSession, *paths: str) -> DataFrame:
+    """Sequences as contigs for a search: seq_id (the header up to its first blank), otu, sequencedata."""
+    first = F.substring_index("id", " ", 1)
+    return read_sequences(spark, *paths).select(first.alias("seq_id"), otu_part(first).alias("otu"), "sequencedata")
+
+
+def read_references(spark: SparkSession, *paths: str) -> DataFrame:
+    """Sequences as references: subjectid (the header up to its first blank), otu, sequencedata without gaps, reference_len."""
+    first, plain = F.substring_index("id", " ", 1), ungapped(F.col("sequencedata"))
+    return read_sequences(spark, *paths).select(first.alias("subjectid"), otu_part(first).alias("otu"), plain.alias("sequencedata"), F.length(plain).cast("bigint").alias("reference_len"))
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system that a path belongs to (local, HDFS, object store) and the path in its form."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(conf), place
+
+
+def _begin(spark: SparkSession, path: str, size: int, unzip: bool = False) -> bytes:
+    """The first bytes of a file."""
+    files, place = _files(spark, path)
+    stream = files.open(place)
+    try:
+        source = spark.sparkContext._jvm.java.util.zip.GZIPInputStream(stream) if unzip else stream
+        found = bytearray()
+        while len(found) < size and (b := source.read()) >= 0:
+            found.append(b)
+        return bytes(found)
+    finally:
+        stream.close()
+
+
+def sniff(spark: SparkSession, path: str) -> str:
+    """FASTA or FASTQ by the first sign of a file that is no blank; ValueError for anything else."""
+    zipped = is_gzip(spark, path)
+    size = 1
+    while len(text := _begin(spark, path, size, zipped)) == size and not text.strip():
+        size *= 8
     kinds = {b">": "FASTA", b"@": "FASTQ"}
-    if first not in kinds:
+    if (first := text.strip()[:1]) not in kinds:
         raise ValueError(f"{path} is neither FASTA nor FASTQ")
     return kinds[first]
 
 
-def is_gzip(path: str) -> bool:
-    with Path(path).open("rb") as f:
-        return f.read(2) == b"\x1f\x8b"
+def is_gzip(spark: SparkSession, path: str) -> bool:
+    return _begin(spark, path, 2) == b"\x1f\x8b"
 
 
-def sequence_files(folder: str, extensions: tuple[str, ...] = FASTA_EXTENSIONS) -> list[str]:
-    """Paths of files in a local folder with one of the extensions, sorted."""
-    return sorted(str(p) for p in Path(folder).iterdir() if p.is_file() and p.name.removesuffix(".gz").rpartition(".")[2] in extensions)
+def sequence_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = FASTA_EXTENSIONS) -> list[str]:
+    """Paths of files in a folder with one of the extensions (also compressed), sorted."""
+    files, place = _files(spark, folder)
+    found = [f.getPath() for f in files.listStatus(place) if f.isFile()]
+    return sorted(p.toString() for p in found if p.getName().removesuffix(".gz").rpartition(".")[2] in extensions)
 
 
-def missing_files(*paths: str) -> list[str]:
-    return [p for p in paths if not Path(p).exists()]
+def missing_files(spark: SparkSession, *paths: str) -> list[str]:
+    return [p for p in paths if not (at := _files(spark, p))[0].exists(at[1])]
 
 
 def pooled(*tables: DataFrame) -> DataFrame:
@@ -76,16 +113,21 @@ def pooled(*tables: DataFrame) -> DataFrame:
 
 
 def read_hits(spark: SparkSession, *paths: str, header: bool = False) -> DataFrame:
-    """Tabular hits, each once."""
-    return spark.read.schema(HITS).csv(list(paths), sep="\t", header=header, quote="").distinct()
+    """Tabular hits, each once, with a hit_id that is a hash of all their fields."""
+    rows = spark.read.schema(HITS).csv(list(paths), sep="\t", header=header, quote="").distinct()
+    return rows.select(F.xxhash64(*rows.columns).alias("hit_id"), "*")
 
 
 def read_features(spark: SparkSession, *paths: str) -> DataFrame:
-    """Feature records (GFF3) with '.' as null and the attributes as text; comments and lines of other forms are left out."""
-    rows = spark.read.text(list(paths)).filter(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("p")).filter(F.size("p") == 9)
-    shown = [F.when(F.col("p")[i] != ".", F.col("p")[i]) for i in range(9)]
+    """Feature records (GFF3) with '.' as null; comments and lines of other forms are left out.
+
+    Columns of the record, the attributes as text, and a column for each known attribute (see
+    :func:`strandloom.operators.features.typed_attributes`).
+    """
+    rows = spark.read.text(list(paths)).filter(~F.startswith("value", F.lit("#"))).select(F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("p")).filter(F.size("p") == 9)
+    shown = [F.when(F.get("p", F.lit(i)) != ".", F.get("p", F.lit(i))) for i in range(9)]
     names = [c.split(" ") for c in FEATURES.split(", ")]
-    return rows.select(*[c.try_cast(kind).alias(name) for c, (name, kind) in zip(shown, names, strict=True)])
+    return typed_attributes(rows.select(*[c.try_cast(kind).alias(name) for c, (name, kind) in zip(shown, names, strict=True)]))
 
 
 def count_records(records: DataFrame) -> DataFrame:

@@ -1,10 +1,16 @@
 from __future__ import annotations
 
+import gzip
+import hashlib
 import random
 
 import pytest
-from strandloom.operators import cluster, hits, sampling, stats, stitch
+from pyspark.sql import functions as F
+from strandloom.functions import identifiers, intervals
+from strandloom.operators import cluster, features, hits, sampling, skew, stats, stitch
+from strandloom.operators.hierarchy import links
 from strandloom.plans.markers import retrieve_markers
+from strandloom.session import build_session
 from strandloom.sources import readers, writers
 
 HITS = (
@@ -161,3 +167,66 @@ def test_streaming(spark, tmp_path, some_hits):
     q.processAllAvailable()
     q.stop()
     assert spark.table("distinct_hits_stream").count() == some_hits.select("queryid", "subjectid", "subjectstart", "subjectend", "cigar").distinct().count()
+
+
+def test_features_from_text(spark, tmp_path):
+    text = "\t".join(["c1", "x", "CDS", "5", "2", ".", "+", ".", "ID=a%3Bb;Parent=p1,p%2C2;Parent=p3;Note=one,two;Is_circular=true;odd;Alias="])
+    (tmp_path / "f.gff").write_text(f"##gff-version 3\n{text}\nc1\tx\tgene\t1\t9\t0.5\t+\t.\tID=p1;Target=p1 1 9 +;Gap=M9;Dbxref=a+b,%zz\r\nc1\tx\tgene\t1\t9\t.\t+\t.\t.\n")
+    rows = {r["id"]: r for r in readers.read_features(spark, str(tmp_path / "f.gff")).collect()}
+    a, p, none = rows["a;b"], rows["p1"], rows[None]
+    assert a["parent"] == ["p1", "p,2", "p3"] and a["note"] == "one,two" and a["iscircular"] is True and a["alias_list"] == [] and a["target"] is None
+    assert p["dbcrossreference"] == ["a+b", "%zz"] and p["gap"] == "M9" and p["score"] == 0.5 and none["parent"] is None
+    table = readers.read_features(spark, str(tmp_path / "f.gff")).selectExpr("row_number() over (order by coalesce(id, '')) as feature_no", "*")
+    found = {(r["feature_no"], r["problem"]) for r in features.problems(table).collect()}
+    assert found == {(2, "start_end"), (2, "cds_phase"), (2, "parent")}
+    nodes, between = links(table)
+    assert {(r["parent"], r["id"]) for r in between.collect()} == {("p1", "a;b")}
+    again = features.typed_attributes(table.select("feature_no", features.attribute_text(table, encoded=True).alias("attributes")))
+    assert {r["id"]: r["parent"] for r in again.collect()} == {"a;b": ["p1", "p,2", "p3"], "p1": None, None: None}
+    assert features.problems(table.limit(0)).count() == 0
+
+
+def test_random_sample(spark):
+    rows = spark.range(3000).selectExpr("cast(id as string) key", "1 as place", "'x' as _part").repartition(6)
+    order = sorted(range(3000), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+    for n in (0, 1, 40, 2500, 9000):
+        assert {r["key"] for r in sampling.random_sample(rows.select("key"), "key", n, 7).collect()} == {str(i) for i in order[:n]}
+    assert sampling.random_sample(rows.limit(0).select("key"), "key", 5).count() == 0
+
+
+def test_paths_and_chunks(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("\n\n  >x\nAC\n")
+    with gzip.open(tmp_path / "b.fastq.gz", "wb") as f:
+        f.write(b"@x\nAC\n+\nII\n")
+    (tmp_path / "c.txt").write_text("nothing")
+    (tmp_path / "empty.fa").write_text("")
+    a, b, c, e = (f"file://{tmp_path}/{n}" for n in ("a.fa", "b.fastq.gz", "c.txt", "empty.fa"))
+    assert readers.sniff(spark, a) == "FASTA" and readers.sniff(spark, b) == "FASTQ" and readers.is_gzip(spark, b) and not readers.is_gzip(spark, e)
+    for bad in (c, e):
+        with pytest.raises(ValueError):
+            readers.sniff(spark, bad)
+    assert [p.rpartition("/")[2] for p in readers.sequence_files(spark, str(tmp_path))] == ["a.fa", "empty.fa"]
+    assert readers.missing_files(spark, a, a + "x") == [a + "x"]
+    assert readers.read_sequences(spark, b).collect()[0]["sequencedata"] == "AC"
+    records = spark.createDataFrame([(f"o@{i}", "ACGT") for i in range(25)], "id string, sequencedata string").coalesce(1)
+    writers.write_chunks(records, str(tmp_path / "chunks"), "id", "sequencedata", per_file=10)
+    assert len(list((tmp_path / "chunks").glob("*.txt"))) == 3
+    assert tuple(readers.count_records(readers.read_fasta(spark, str(tmp_path / "chunks"))).first()) == (25, 100)
+    assert build_session().sparkContext is spark.sparkContext
+
+
+def test_more_of_hits(spark, few_heavy, some_hits):
+    markers = spark.createDataFrame([("s", 12), ("r", None), (None, 3)], "subjectid string, reference_len bigint")
+    assert {r["hit_id"] for r in hits.filter_hits(some_hits, subject_cover=30, markers=markers).collect()} == {1, 4, 10}
+    rows = spark.createDataFrame([("a@1", "s"), ("a@2", "s"), ("a@1", "t"), ("b@1", "t"), (None, "u"), ("c@1", None)], "queryid string, subjectid string")
+    assert [tuple(r) for r in hits.same_otu_subjects(rows).collect()] == [("s", "a")]
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(["x"] * 40 + ["y", "z", None])], "k string, i int")
+    right = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), (None, 4)], "k string, j int")
+    joined = [tuple(r) for r in skew.salted_join(left, right, "k", ["x"]).collect()]
+    assert sorted(joined) == sorted([("x", i, j) for i in range(40) for j in (1, 2)] + [("y", 40, 3)])
+
+
+def test_identifier_and_place(spark):
+    df = spark.createDataFrame([("o", "p", 3), (None, "p", 9), ("", "p", 1)], "o string, p string, n int")
+    got = [tuple(r) for r in df.select(identifiers.compose(F.col("o"), F.col("p")).alias("i"), intervals.subject_to_full(F.col("n"), F.lit(5), F.lit(10)).alias("x")).collect()]
+    assert got == [("o@p", 7), ("p", None), ("p", 5)]

@@ -52,3 +52,10 @@ def test_across_blocks(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_far_positions(spark):
+    rows = [("s", 2**31 - 5, 2**31 + 10), ("s", 2**31 + 11, 2**36), ("s", 10**11 - 3, 10**11), ("s", 5, 10**11 + 1)]
+    df = spark.createDataFrame(rows, "subject string, a bigint, b bigint")
+    found = {tuple(r)[1:] for r in periods_and_gaps(df, "subject", "a", "b").collect()}
+    assert found == {("period", 2**31 - 5, 2**36), ("gap", 2**36 + 1, 10**11 - 4), ("period", 10**11 - 3, 10**11)}

@@ -1,9 +1,16 @@
 from __future__ import annotations
 
 import random
+import re
 
-from strandloom.functions.alignment import _lookup, align_batch, blosum62
+import pytest
+from pyspark.sql import functions as F
+from strandloom.functions.alignment import _counts, _lookup, align_batch, align_paths, blosum62, lookup
+from strandloom.functions.sequences import genetic_code, is_amino_acid, translated
 from strandloom.operators import search
+from strandloom.plans.markers import Settings, retrieve_markers
+from strandloom.plans.orthologs import compare_orthologs
+from strandloom.sources import readers, writers
 
 CODONS = dict(zip("ARNDCQEGHILKMFPSTWYV", "GCT CGT AAT GAT TGT CAA GAA GGT CAT ATT CTT AAA ATG TTT CCT TCT ACT TGG TAT GTT".split(), strict=True))
 
@@ -28,3 +35,116 @@ def test_search_aligns_whole_sequences(spark):
     for k, (q, r) in pairs.items():
         full = align_batch([q], [r], _lookup(blosum62()), True, 11, 1)[0].tolist()
         assert found[k]["frame"] == 1 and [found[k][c] for c in ("score", "matches", "mismatches", "insertions", "deletions")] == full
+
+
+def rescored(a, b, i, j, cigar, table):
+    total, i, j = 0, i - 1, j - 1
+    for n, op in re.findall(r"(\d+)([MID])", cigar):
+        n = int(n)
+        total += sum(int(table[ord(x), ord(y)]) for x, y in zip(a[i : i + n], b[j : j + n], strict=True)) if op == "M" else -11 - n
+        i, j = i + n * (op != "D"), j + n * (op != "I")
+    return total, i, j
+
+
+@pytest.mark.parametrize("cells", [1 << 25, 40_000])
+@pytest.mark.parametrize("local", [False, True])
+def test_paths(local, cells):
+    """Operations score what the score says, whether a batch is traced at once or in blocks of rows."""
+    rng, table, a, b = random.Random(3), lookup(blosum62()), [], []
+    for _ in range(200):
+        x = rng.choices("ARNDCQEGHILKMFPSTWYV", k=rng.randint(0, 40))
+        y = list(x)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randint(0, len(y))
+            y[k : k + rng.randint(0, 4)] = rng.choices("ARNDCQEGHILKMFPSTWYV", k=rng.randint(0, 4))
+        a.append("".join(x))
+        b.append("".join(y))
+    best = align_batch(a, b, table, local, 11, 1)
+    for x, y, want, (score, i, ie, j, je, cigar) in zip(a, b, best, align_paths(a, b, table, local, 11, 1, cells), strict=True):
+        assert score == want[0]
+        if cigar:
+            assert rescored(x, y, i, j, cigar, table) == (score, ie, je)
+            assert _counts(x, y, i, j, cigar)[0] == want[1]
+        if cigar and not local:
+            assert (i, ie, j, je) == (1, len(x), 1, len(y))
+
+
+def test_long_sequences_keep_their_path():
+    rng = random.Random(5)
+    x = "".join(rng.choices("ARNDCQEGHILKMFPSTWYV", k=2600))
+    y = x[:900] + x[950:2000] + "WWW" + x[2000:]
+    score, *_, cigar = align_paths([x], [y], lookup(blosum62()), True, 11, 1, cells=1 << 20)[0]
+    assert cigar == "900M50I1050M3D600M" and score == sum(blosum62()[c, c] for c in x[:900] + x[950:]) - 61 - 14
+
+
+def back_translated(protein):
+    return "".join(CODONS[c] for c in protein)
+
+
+def reverse(text):
+    return text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_files_to_markers(spark, tmp_path):
+    """Contigs and references as text, overlapping contigs on both strands, stitched residues and nucleotides out."""
+    rng = random.Random(9)
+    reference = "".join(rng.choices("ARNDCQEGHILKMFPSTWYV", k=160))
+    pieces = {"sp@c1": "GG" + back_translated(reference[:70]) + "T", "sp@c2": reverse("A" + back_translated(reference[55:120])), "sp@c3": back_translated(reference[130:])}
+    (tmp_path / "contigs.fa").write_text("".join(f">{k} some words\n{v[:50]}\n{v[50:]}\n" for k, v in pieces.items()))
+    (tmp_path / "reference.fa").write_text(f">otu@gene\n{reference}\n")
+    contigs, markers = readers.read_contigs(spark, str(tmp_path / "contigs.fa")), readers.read_references(spark, str(tmp_path / "reference.fa"))
+    found = search.search(contigs, markers, word=5)
+    rows = {r["queryid"]: r for r in found.collect()}
+    assert rows["sp@c1"]["queryframe"] == 3 and (rows["sp@c1"]["querystart"], rows["sp@c1"]["queryend"], rows["sp@c1"]["subjectend"]) == (3, 212, 70)
+    assert rows["sp@c2"]["queryframe"] == -2 and (rows["sp@c2"]["querystart"], rows["sp@c2"]["queryend"]) == (195, 1)
+    assert rows["sp@c3"]["cigar"] == "30M" and rows["sp@c3"]["evalue"] < 1e-6 and rows["sp@c3"]["percentidentical"] == 100
+    expected = reference[:120] + "-" * 10 + reference[130:]
+    result = retrieve_markers(found, markers)
+    row = result.sequences.first()
+    assert row["aligned"] == expected and row["dna"] == back_translated(expected.replace("-", ""))
+    stats = result.statistics.first()
+    assert (stats["regions"], stats["contigs"], stats["matches"], stats["deletions"], stats["identity"]) == (3, 3, 150, 10, 100.0)
+    # the hits as text, read again
+    columns = [c.split(" ")[0] for c in readers.HITS.split(", ")]
+    shown = found.withColumn("querysequence", F.lit("")).select(*columns)
+    writers.write_hits(shown, str(tmp_path / "hits"))
+    again = readers.read_hits(spark, str(tmp_path / "hits"))
+    assert again.select("hit_id").distinct().count() == 3
+    result = retrieve_markers(again, markers, Settings(subject_cover=10, by_species=True))
+    assert [(r["subjectid"], r["aligned"]) for r in result.sequences.collect()] == [("sp|otu@gene", expected)]
+    assert retrieve_markers(again, markers, Settings(subject_cover=90)).sequences.count() == 0
+    result.write(str(tmp_path / "out"))
+    names = {p.name for p in (tmp_path / "out").iterdir()}
+    assert names == {"sequences", "nucleotides", "statistics", "summary", "coverage", "identity"}
+    assert readers.read_fasta(spark, str(tmp_path / "out" / "nucleotides" / "marker=gene")).count() == 1
+    block = spark.createDataFrame(result.statistics.collect(), result.statistics.schema).select(writers.alignment_text(result.statistics).alias("t")).first()["t"]
+    assert "Matches: 150" in block and "Occupancy: 93.75" in block
+
+
+def test_options_and_proteins(spark, few_heavy):
+    rng = random.Random(2)
+    reference = "".join(rng.choices("ARNDCQEGHILKMFPSTWYV", k=60))
+    markers = spark.createDataFrame([("m", reference + "AAAAAAAA"), ("low", "AAAAAAAAAAAA"), ("none", None), (None, reference)], "subjectid string, sequencedata string")
+    contigs = spark.createDataFrame([("q", back_translated(reference)), ("q", back_translated(reference[:30])), ("a", "GCT" * 30), ("n", None), (None, "ACGT"), ("e", "")], "seq_id string, sequencedata string")
+    found = search.search(contigs, markers, max_targets=0)
+    assert {(r["queryid"], r["subjectid"], r["matches"]) for r in found.collect()} == {("q", "m", 60), ("q", "m", 30), ("a", "low", 12), ("a", "m", 8)}
+    assert {r["queryid"] for r in search.search(contigs, markers, masking=True).collect()} == {"q"}
+    assert {r["matches"] for r in search.search(contigs, markers, least_orf=40, frames=(1, 2, 3)).collect()} == {60}
+    assert search.search(contigs, markers, frames=(-1, -2, -3)).filter("queryid = 'q'").count() == 0
+    assert {r["queryid"] for r in search.search(contigs, markers, evalue=1e-9).collect()} == {"q"}
+    assert search.search(contigs.limit(0), markers).count() == 0
+    proteins = spark.createDataFrame([("p", reference[10:50]), ("x", "WWWWWW")], "seq_id string, sequencedata string")
+    row = search.protein_search(proteins, markers).collect()
+    assert [(r["queryid"], r["querystart"], r["queryend"], r["subjectstart"], r["cigar"]) for r in row] == [("p", 1, 40, 11, "40M")]
+    compared = compare_orthologs(proteins, markers)
+    assert [(r["subjectid"], r["matches"], r["distance"], r["percent_identity"]) for r in compared.statistics.collect()] == [("m", 40, 0, 100.0)]
+    assert compare_orthologs(contigs, markers, nucleotides=True).statistics.filter("subjectid = 'm'").first()["matches"] == 60
+
+
+def test_genetic_codes(spark):
+    assert len(set(genetic_code(1))) == 21 and genetic_code(11) == genetic_code(1)
+    with pytest.raises(ValueError):
+        genetic_code(99)
+    df = spark.createDataFrame([("TGAATAAGA", "MKV*"), ("ACGT", "ACGT"), (None, None)], "s string, p string")
+    rows = df.select(translated(F.col("s"), 1, genetic_code(2)).alias("t"), is_amino_acid(F.col("p")).alias("p")).collect()
+    assert [(r["t"], r["p"]) for r in rows] == [("WM*", True), ("T", False), (None, None)]
