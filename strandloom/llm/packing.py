@@ -107,7 +107,8 @@ def pack_items(items: DataFrame, key: str, size: str, capacities: dict[int, int]
     """
     ws = Workspace(items.sparkSession, "packing")
     packs = F.array(*[F.struct(F.lit(i).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("capacity")) for i, c in sorted(capacities.items())])
-    each = items.select(F.col(key).cast("bigint").alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_s"), F.explode(packs).alias("_p"))
+    sizes = ws.save(items.select(F.col(key).cast("bigint").alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_s")))
+    each = sizes.select("key", "_s", F.explode(packs).alias("_p"))
     each = each.select("key", "_s", "_p.pack_id", "_p.capacity")
     full = F.col("_s").cast("bigint") - F.pmod("_s", "capacity")
     whole = F.expr("_s div capacity").cast("int")
