@@ -103,3 +103,46 @@ def repaired(nucleotides: Column, cigar: Column) -> Column:
         return F.struct((acc["at"] + moved).alias("at"), F.concat(acc["out"], piece).alias("out")).cast(kind)
 
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+
+def placed(cigar: Column) -> Column:
+    """Plain operations as an array of (op, size, on_reference, on_query): the letters of both that stand before each."""
+    kind = "struct<r:int,q:int,out:array<struct<op:string,size:int,on_reference:int,on_query:int>>>"
+    start = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<op:string,size:int,on_reference:int,on_query:int>>").alias("out")).cast(kind)
+
+    def step(acc: Column, o: Column) -> Column:
+        here = F.struct(o["op"].alias("op"), o["size"].alias("size"), acc["r"].alias("on_reference"), acc["q"].alias("on_query"))
+        r = acc["r"] + F.when(o["op"].isin(*MATCHED, *DELETED), o["size"]).otherwise(0)
+        q = acc["q"] + F.when(o["op"].isin(*MATCHED, "I"), o["size"]).otherwise(0)
+        return F.struct(r.alias("r"), q.alias("q"), F.concat(acc["out"], F.array(here)).alias("out")).cast(kind)
+
+    return F.aggregate(operations(cigar), start, step, lambda acc: acc["out"])
+
+
+def sliced(cigar: Column, first: Column, last: Column) -> Column:
+    """The part of an alignment on reference letters first .. last (of the aligned ones, from 1), as a struct.
+
+    Fields cigar, reference_first, reference_last, query_first, query_last (letters of the aligned sequences). Gaps at
+    the ends are dropped, so that the part begins and ends with a pair of letters; insertions between two kept letters
+    stay. Nothing is aligned anew. Null if no pair of letters is left.
+    """
+
+    def cut(o: Column) -> Column:
+        low, high = F.greatest(first, o["on_reference"] + 1), F.least(last, o["on_reference"] + o["size"])
+        pair, gap = o["op"].isin(*MATCHED), o["op"].isin(*DELETED)
+        inside = (o["op"] == "I") & (first <= o["on_reference"]) & (o["on_reference"] < last)
+        size = F.when(pair | gap, high - low + 1).when(inside, o["size"]).otherwise(0)
+        on_query = o["on_query"] + low - o["on_reference"]
+        return F.struct(o["op"].alias("op"), size.cast("int").alias("size"), pair.alias("pair"), low.cast("int").alias("low"), high.cast("int").alias("high"), on_query.cast("int").alias("from"))
+
+    def whole(parts: Column) -> Column:
+        pairs = F.transform(parts, lambda p: p["pair"])
+        a, b = F.array_position(pairs, True), F.size(parts) + 1 - F.array_position(F.reverse(pairs), True)
+        start, end = F.get(parts, (a - 1).cast("int")), F.get(parts, (b - 1).cast("int"))
+        text = F.array_join(F.transform(F.slice(parts, a.cast("int"), (b - a + 1).cast("int")), lambda p: F.concat(p["size"].cast("string"), p["op"])), "")
+        return F.when(a > 0, F.struct(
+            text.alias("cigar"), start["low"].alias("reference_first"), end["high"].alias("reference_last"), start["from"].alias("query_first"), (end["from"] + end["size"] - 1).alias("query_last")
+        ))
+
+    parts = F.filter(F.transform(placed(cigar), cut), lambda p: p["size"] > 0)
+    return F.get(F.transform(F.array(parts), whole), F.lit(0))  # the parts are made once

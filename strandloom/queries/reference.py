@@ -13,7 +13,7 @@ from ..functions import identifiers as ids
 from ..functions import sequences as seq
 from ..functions.alignment import aligned_pair, pair_scores
 from ..functions.intervals import Interval, codon, full_to_subject
-from ..operators import cluster, features, hits, sampling, search, stats, stitch
+from ..operators import cluster, features, hits, sampling, search, slices, stats, stitch
 from ..operators.skew import heavy_keys, lookup_join
 from ..plans.markers import retrieve_markers as plan
 from ..plans.orthologs import compare_orthologs, scored_pairs
@@ -533,6 +533,36 @@ def coordinate_table(t):
     return _whole_numbers(stitch.coordinate_table(t("hits")))
 
 
+_MATCH = "op in ('M', '=', 'X')"
+
+
+@query(f"""with {_WON}, x as (select r.subjectid, r.hit_id, r.first_pos, r.last_pos, i, op, n, s.r, k, q, f, r.first_pos - f + 1 a, r.last_pos - f + 1 b, greatest(r.first_pos - f + 1, s.r + 1) lo, least(r.last_pos - f + 1, s.r + n) hi from runs r join s using (hit_id)),
+          y as (select *, case when {_MATCH} or op in ('D', 'N') then hi - lo + 1 when op = 'I' and a <= r and r < b then n else 0 end size from x),
+          z as (select *, min(case when {_MATCH} then i end) over w i0, max(case when {_MATCH} then i end) over w i1 from y where size > 0 window w as (partition by hit_id, first_pos)),
+          e as (select subjectid, hit_id, first_pos, last_pos, any_value(f) f, any_value(q) q, string_agg(size::bigint::varchar || op, '' order by i) cigar, min(lo) filter ({_MATCH}) r0, max(hi) filter ({_MATCH}) r1,
+            min(k + lo - r) filter ({_MATCH}) q0, max(k + hi - r) filter ({_MATCH}) q1 from z where i between i0 and i1 group by all)
+          select e.subjectid, e.hit_id, first_pos::int region_first, last_pos::int region_last, (f + r0 - 1)::int subjectstart, (f + r1 - 1)::int subjectend, e.cigar, substr(q, q0::bigint, (q1 - q0 + 1)::bigint) translated_querysequence,
+            case when querystart > queryend then querystart - 3 * (q0 - 1) else querystart + 3 * (q0 - 1) end::int querystart, case when querystart > queryend then querystart - 3 * (q1 - 1) - 2 else querystart + 3 * (q1 - 1) + 2 end::int queryend
+          from e join hits using (hit_id)""")
+def region_slices(t):
+    """The winners' slices with cigar and coordinates on subject and query."""
+    rows = slices.region_slices(t("hits"))
+    return rows.select("subjectid", "hit_id", *[F.col(c).cast("int").alias(c) for c in ("region_first", "region_last")], "subjectstart", "subjectend", "cigar", "translated_querysequence", "querystart", "queryend")
+
+
+@query(f"""with {_WON}, z as (select hit_id, least(any_value(l), any_value(f) + sum(case when {_MATCH} or op in ('D', 'N') then n else 0 end) - 1) e from s group by hit_id),
+          x as (select hit_id, k + j query_pos, f - 1 + r + case when op = 'I' then 0 else j end pos, op = 'I' inserted, f, e from s join z using (hit_id), generate_series(1, n) g(j) where op = 'I' or {_MATCH})
+          select hit_id, query_pos::int query_pos, pos::int pos, inserted from x where pos <= e and f <= e""")
+def query_coordinates(t):
+    return _whole_numbers(slices.query_coordinates(t("hits")))
+
+
+@query()
+def overlap_order(t):
+    """Which of two overlapping neighbours owns the overlap, by the score of the overlap alone and by bitscore."""
+    return slices.overlap_order(t("hits"), t("markers"))
+
+
 # ---- alignment and search
 
 @query()

@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from strandloom.functions import cigar
 from strandloom.functions.alignment import blosum62
-from strandloom.operators import stitch
+from strandloom.operators import slices, stitch
 
 SCHEMA = "hit_id bigint, subjectid string, translated_querysequence string, full_querysequence string, querystart int, queryend int, subjectstart int, subjectend int, cigar string, bitscore double, pos string"
 
@@ -102,3 +103,55 @@ def test_windows_with_gaps(spark):
     assert np.isclose(-(11 + 1 + 1) - 8, 4 * -5.25)  # two adjacent gaps and two mismatches stay at -7.0
     row = spark.createDataFrame([("--CC", "AAWW")], "a string, b string").select(stitch.window_trimmed(F.col("a"), F.col("b")).alias("t")).first()
     assert row["t"] == "--CC"
+
+
+def expanded(cigar):
+    out, number = "", ""
+    for c in cigar:
+        if c.isdigit():
+            number += c
+        else:
+            out, number = out + c * int(number), ""
+    return out
+
+
+def test_slices(spark):
+    rng = random.Random(8)
+    rows = []
+    for no in range(60):
+        ops = "".join(f"{rng.randint(1, 4)}{o}" for o in rng.choice(["M", "MIM", "MDM", "DMI", "IMD", "D", "MDIM", "MMI"]))
+        text = "".join(rng.choices("ACDEF", k=sum(c in "MI" for c in expanded(ops))))
+        span = sum(c in "MD" for c in expanded(ops))
+        rows.append((no, ops, text, rng.randint(1, span), rng.randint(1, span)))
+    df = spark.createDataFrame(rows, "no int, cigar string, text string, a int, b int")
+    for r in df.select("*", cigar.sliced(F.col("cigar"), F.col("a"), F.col("b")).alias("s")).collect():
+        columns, ref, query = [], 0, 0
+        for op in expanded(r["cigar"]):
+            ref, query = ref + (op in "MD"), query + (op in "MI")
+            if r["a"] <= ref <= r["b"] and (op in "MD" or ref < r["b"]):
+                columns.append((op, ref, query))
+        while columns and columns[0][0] != "M":
+            columns.pop(0)
+        while columns and columns[-1][0] != "M":
+            columns.pop()
+        if not columns:
+            assert r["s"] is None
+            continue
+        assert expanded(r["s"]["cigar"]) == "".join(c for c, _, _ in columns)
+        assert tuple(r["s"])[1:] == (columns[0][1], columns[-1][1], columns[0][2], columns[-1][2])
+
+
+def test_overlaps_scored_anew(spark):
+    reference = "MKVLAWHHGERTYPLKDSAQ"
+    hits = [(1, "s", reference[:12], "", 1, 36, 1, 12, "12M", 90.0, ""), (2, "s", "AAAA" + reference[12:], "", 1, 36, 9, 20, "12M", 95.0, ""), (3, "s", reference[:12], "", 1, 36, 1, 12, "12M", 80.0, "")]
+    df = spark.createDataFrame([*hits, hits[0]], SCHEMA)
+    markers = spark.createDataFrame([("s", reference), ("t", None)], "subjectid string, sequencedata string")
+    (row,) = slices.overlap_order(df, markers).collect()
+    table = blosum62()
+    assert (row["hit_a"], row["hit_b"], row["overlap_first"], row["overlap_last"]) == (1, 2, 9, 12)
+    assert row["score_a"] == sum(table[c, c] for c in reference[8:12]) and row["score_b"] < row["score_a"] and (row["by_overlap"], row["by_bitscore"]) == (1, 2)
+    cut = {(r["hit_id"], r["region_first"]): r for r in slices.region_slices(df).collect()}
+    assert cut[1, 1]["translated_querysequence"] == reference[:8] and (cut[1, 1]["querystart"], cut[1, 1]["queryend"], cut[1, 1]["cigar"]) == (1, 24, "8M")
+    assert slices.overlap_order(df.limit(0), markers).count() == 0
+    query = spark.createDataFrame([("AACCCGGGTT", 3, 8), ("ACG", 1, 3), (None, 1, 2), ("ACG", 2, 9)], "q string, a int, b int")
+    assert [r[0] for r in query.select(slices.framed_query(F.col("q"), F.col("a"), F.col("b"))).collect()] == ["CCCGGG", "ACG", None, None]
