@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 from pathlib import Path
 
@@ -90,11 +91,15 @@ def align_batch(a: list[str], b: list[str], table: np.ndarray, local: bool, gap_
     Gotoh's recursion, a row of all pairs at a time. A cell's number holds its score and, in lower digits, the counts
     of the alignment that leads to it, so that one comparison settles both: of equally good alignments the one with
     most equal, then most different, inserted and deleted letters wins. A gap of n letters costs open + n x extend.
+    Counts of more than 2,000 letters don't fit into the number; such batches are traced (:func:`align_paths`), and of
+    alignments with as many equal letters one is taken.
     """
+    if max(map(len, [*a, *b]), default=0) > 2000:
+        paths = align_paths(a, b, table, local, gap_open, gap_extend)
+        return np.array([(p[0], *_counts(x.upper(), y.upper(), p[1], p[3], p[5])) for x, y, p in zip(a, b, paths, strict=True)], np.int64)
     n, x, y = len(a), _codes(a), _codes(b)
     la, lb = np.array([len(t) for t in a]), np.array([len(t) for t in b])
-    wide = max(x.shape[1], y.shape[1]) > 2000
-    bits, kind = (40, object) if wide else (11, np.int64)
+    bits, kind = 11, np.int64
     unit, equal, different, insert, delete = (1 << (4 * bits)), (1 << (3 * bits)), (1 << (2 * bits)), (1 << bits), 1
     scores = table.astype(kind) * unit + different
     scores[np.arange(128), np.arange(128)] += equal - different
@@ -311,6 +316,31 @@ def _counts(a: str, b: str, i: int, j: int, cigar: str) -> tuple[int, int, int,
     return tuple(counts)
 
 
+#: Pairs of texts whose scores a task remembers; they are forgotten together when there are more.
+REMEMBER = 100_000
+
+
+def local_score(query: Column, reference: Column, matrix: dict | None = None, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND) -> Column:
+    """The score of the best local alignment, for many short and often equal texts: a task aligns equal pairs once. Null if one is null."""
+    table = lookup(matrix or blosum62())
+
+    @F.pandas_udf("int")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[tuple[str, str], int] = {}
+        for a, b in batches:
+            pairs = [None if x is None or y is None else (x.upper(), y.upper()) for x, y in zip(a, b, strict=True)]
+            fresh = sorted({p for p in pairs if p is not None and p not in known}, key=lambda p: (len(p[0]) // 16, len(p[1])))
+            for i in range(0, len(fresh), BATCH):
+                part = fresh[i : i + BATCH]
+                found = align_batch([p[0] for p in part], [p[1] for p in part], table, True, gap_open, gap_extend)
+                known.update(zip(part, found[:, 0].tolist(), strict=True))
+            yield pd.Series([None if p is None else known[p] for p in pairs], dtype="Int32")
+            if len(known) > REMEMBER:
+                known.clear()
+
+    return score(query, reference)
+
+
 def pair_scores(matrix: dict[tuple[str, str], int] | None = None) -> dict[str, int]:
     """A matrix as a map from two letters, for expressions."""
     return {a + b: v for (a, b), v in (matrix or blosum62()).items()}

@@ -57,9 +57,10 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 def _flatten(ws: Workspace, parents: DataFrame) -> DataFrame:
     """u and the end q of its chain of parents: the chains halve with every jump."""
     labels = parents.select("u", F.col("p").alias("q"))
+    nodes = parents.count()
     while True:
         up = labels.select(F.col("u").alias("q"), F.col("q").alias("r"))
-        step = lookup_join(labels, up, "q", heavy_keys(labels, "q"))
+        step = lookup_join(labels, up, "q", heavy_keys(labels, "q", nodes))
         nxt = ws.save(step.select("u", F.col("r").alias("q"), (F.col("q") != F.col("r")).alias("moved")))
         ws.drop(labels)
         if nxt.filter("moved").isEmpty():

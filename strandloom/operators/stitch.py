@@ -18,10 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cigar as cig
-from ..functions.alignment import GAP_EXTEND, GAP_OPEN, blosum62, lookup
+from ..functions.alignment import GAP_EXTEND, GAP_OPEN, blosum62, local_score, lookup
 from ..functions.intervals import codon
 from ..functions.sequences import letters, reverse_complement
 from .hits import finite
+from .skew import heavy_keys, lookup_join
 
 #: Residues that masking removes unless told otherwise.
 STOP = "*"
@@ -87,15 +88,67 @@ def owned_regions(hits: DataFrame) -> DataFrame:
                 names=["subjectid", "hit_id", "bitscore", "first_pos", "last_pos"],
             )
 
-    painted = blocks.mapInArrow(paint, "subjectid string, hit_id bigint, bitscore double, first_pos bigint, last_pos bigint")
+    return _joined_runs(blocks.mapInArrow(paint, "subjectid string, hit_id bigint, bitscore double, first_pos bigint, last_pos bigint"))
+
+
+def _joined_runs(owned: DataFrame) -> DataFrame:
+    """Stretches of one hit that touch each other as one."""
     order = W.partitionBy("subjectid", "hit_id").orderBy("first_pos")
     new = F.when(F.lag("last_pos").over(order) == F.col("first_pos") - 1, 0).otherwise(1)
-    runs = painted.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
+    runs = owned.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
     return runs.groupBy("subjectid", "hit_id", "_run").agg(F.max("bitscore").alias("bitscore"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos")).drop("_run")
 
 
-def resolve_regions(hits: DataFrame, nucleotides: bool = False) -> DataFrame:
-    """The regions of :func:`owned_regions` with the slice that each keeps of its hit: residues, and codons if asked for.
+def regions_by_overlap(hits: DataFrame, markers: DataFrame, matrix: dict | None = None) -> DataFrame:
+    """Regions as in :func:`owned_regions`, but what several hits cover goes to the one that scores best there.
+
+    Each stretch that the same hits cover from end to end is scored for each of them: the hit's slice is aligned anew,
+    locally, with the reference. The highest score owns the stretch; of equal ones the highest bitscore, then the
+    smallest hit_id. For two overlapping hits that is the score of their overlap. Stretches of references without a
+    sequence go by bitscore.
+
+    A hit becomes a row for each stretch it covers, so at most one for each of its positions; these are combined
+    before the shuffle. The ends of all hits meet in blocks of reference positions, which bounds them.
+    """
+    placed = placed_hits(hits)
+    block = F.explode(F.sequence(F.expr(f"first_pos div {BLOCK}"), F.expr(f"last_pos div {BLOCK}"))).alias("_block")
+    cut = placed.select("subjectid", "hit_id", "bitscore", "first_pos", "last_pos", block)
+    base = F.col("_block") * BLOCK
+    cut = cut.select(
+        F.concat_ws("#", "_block", "subjectid").alias("_key"), "subjectid", "hit_id", "bitscore", "first_pos", "last_pos",
+        F.greatest("first_pos", base).alias("_lo"), F.least("last_pos", base + BLOCK - 1).alias("_hi"),
+    )
+    ends = placed.select("subjectid", F.explode(F.array(F.col("first_pos"), F.col("last_pos") + 1)).alias("_e")).select(F.concat_ws("#", F.expr(f"_e div {BLOCK}"), "subjectid").alias("_key"), "_e")
+    edges = ends.groupBy("_key").agg(F.sort_array(F.collect_set("_e")).alias("_edges"))
+    both = lookup_join(cut, edges, "_key", heavy_keys(cut, "_key"), "left")
+    inner = F.filter(F.coalesce("_edges", F.array().cast("array<bigint>")), lambda e: (e > F.col("_lo")) & (e <= F.col("_hi")))
+    starts = F.concat(F.array("_lo"), inner)
+    stops = F.concat(F.transform(inner, lambda e: e - 1), F.array("_hi"))
+    # a stretch goes on over the border of a block if no hit begins or ends there
+    goes_on = ~F.coalesce(F.array_contains("_edges", F.col("_lo")), F.lit(False)) & (F.col("_lo") > F.col("first_pos"))
+    each = both.select("subjectid", "hit_id", "bitscore", "first_pos", "last_pos", goes_on.alias("_on"), F.posexplode(F.arrays_zip(starts.alias("a"), stops.alias("b"))).alias("_i", "_x"))
+    order = W.partitionBy("subjectid", "hit_id", "first_pos", "last_pos", "bitscore").orderBy("_x.a")
+    opens = F.when((F.col("_i") == 0) & F.col("_on"), 0).otherwise(1)
+    runs = each.dropDuplicates(["subjectid", "hit_id", "first_pos", "last_pos", "bitscore", "_x"]).withColumn("_o", opens).withColumn("_run", F.sum("_o").over(order))
+    keys = ["subjectid", "hit_id", "first_pos", "last_pos", "bitscore"]
+    stretches = runs.groupBy(*keys, "_run").agg(F.min("_x.a").alias("_a"), F.max("_x.b").alias("_b")).drop("_run")
+    texts = placed.select(*keys, F.struct("cigar", "translated_querysequence").alias("_h")).groupBy(*keys).agg(F.max("_h").alias("_h"))
+    at, size = F.col("_a") - F.col("first_pos") + 1, F.col("_b") - F.col("_a") + 1
+    part = cig.sliced(F.col("_h.cigar"), at, at + size - 1)
+    whole = F.col("_h.cigar").rlike(r"^\d+[M=X]$")  # without gaps there is nothing to look for
+    span = F.when(whole, F.struct(at.cast("int").alias("f"), size.cast("int").alias("n"))).otherwise(F.struct(part["query_first"].alias("f"), (part["query_last"] - part["query_first"] + 1).alias("n")))
+    query = F.get(F.transform(F.array(span), lambda s: F.substr("_h.translated_querysequence", s["f"], s["n"])), F.lit(0))
+    sliced = stretches.join(texts, keys)
+    lined = lookup_join(sliced.select(*keys, "_a", "_b", query.alias("_q")), references(markers), "subjectid", heavy_keys(stretches, "subjectid"), "left")
+    piece = F.substr("reference", F.col("_a").cast("int"), (F.col("_b") - F.col("_a") + 1).cast("int"))
+    score = F.coalesce(local_score(F.coalesce("_q", F.lit("")), piece, matrix), F.lit(0))
+    rows = lined.select("subjectid", "_a", "_b", score.alias("score"), "bitscore", (-F.col("hit_id")).cast("bigint").alias("nid"))
+    best = rows.groupBy("subjectid", "_a", "_b").agg(F.max(F.struct("score", "bitscore", "nid")).alias("_m"))
+    return _joined_runs(best.select("subjectid", (-F.col("_m.nid")).alias("hit_id"), F.col("_m.bitscore").alias("bitscore"), F.col("_a").alias("first_pos"), F.col("_b").alias("last_pos")))
+
+
+def resolve_regions(hits: DataFrame, nucleotides: bool = False, owned: DataFrame | None = None) -> DataFrame:
+    """The regions of :func:`owned_regions` (or others, ``owned``) with the slice that each keeps of its hit: residues, and codons if asked for.
 
     A letter of residues (three of codons) for each position; '-' where the hit has a deletion or its sequence ends
     too early, and codons of '-' where the hit has no query or no query coordinates from 1 on.
@@ -105,7 +158,7 @@ def resolve_regions(hits: DataFrame, nucleotides: bool = False) -> DataFrame:
     if nucleotides:
         texts.append(aligned_nucleotides(F.col("full_querysequence"), F.col("querystart"), F.col("queryend"), F.col("cigar")).alias("_codons"))
     whole = placed.select("subjectid", "hit_id", F.col("bitscore").alias("_score"), F.col("first_pos").alias("_f"), F.col("last_pos").alias("_l"), *texts)
-    both = owned_regions(hits).join(whole, ["subjectid", "hit_id"]).filter("bitscore = _score and _f <= first_pos and last_pos <= _l")
+    both = (owned_regions(hits) if owned is None else owned).join(whole, ["subjectid", "hit_id"]).filter("bitscore = _score and _f <= first_pos and last_pos <= _l")
     at, size = (F.col("first_pos") - F.col("_f")).cast("int"), (F.col("last_pos") - F.col("first_pos") + 1).cast("int")
     parts = [F.substr("_residues", at + 1, size).alias("residues")]
     if nucleotides:

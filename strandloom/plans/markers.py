@@ -37,6 +37,7 @@ class Settings:
     gap_extend: int = 1
     matrix: dict[tuple[str, str], int] | None = None
     by_species: bool = False
+    by_overlap: bool = False
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,8 @@ def retrieve_markers(hits: DataFrame, markers: DataFrame, settings: Settings | N
 
     ``hits`` may come from a table, :func:`strandloom.sources.readers.read_hits` or :func:`strandloom.operators.search.search`.
     No hits give empty sequences and statistics. With ``by_species`` the hits of each OTU of the queries are stitched
-    for themselves, under the reference's id with the OTU in front (``otu|subjectid``). Jobs run while the result is built.
+    for themselves, under the reference's id with the OTU in front (``otu|subjectid``); with ``by_overlap`` overlaps go to
+    the hit that scores best there (:func:`strandloom.operators.stitch.regions_by_overlap`). Jobs run while the result is built.
     """
     s = settings or Settings()
     ws = Workspace(hits.sparkSession, "markers")
@@ -83,7 +85,8 @@ def retrieve_markers(hits: DataFrame, markers: DataFrame, settings: Settings | N
     if s.top_percent:
         chosen = hit_ops.top_percent(chosen, s.top_percent)
     chosen = ws.save(hit_ops.best_targets(chosen, s.max_targets, s.max_hsps))
-    regions = ws.save(stitch.masked(stitch.resolve_regions(chosen, s.nucleotides), s.retain_stops, s.retain_ambiguous))
+    owned = stitch.regions_by_overlap(chosen, markers, s.matrix) if s.by_overlap else None
+    regions = ws.save(stitch.masked(stitch.resolve_regions(chosen, s.nucleotides, owned), s.retain_stops, s.retain_ambiguous))
     rows = stitch.stitched_on(regions, markers)
     if s.trim:
         rows = stitch.trimmed(rows, s.window, s.least_mean, gap_open=s.gap_open, gap_extend=s.gap_extend, matrix=s.matrix)

@@ -15,6 +15,7 @@ from ..functions.alignment import aligned_pair, pair_scores
 from ..functions.intervals import Interval, codon, full_to_subject
 from ..operators import cluster, features, hits, sampling, search, slices, stats, stitch
 from ..operators.skew import heavy_keys, lookup_join
+from ..plans.markers import Settings
 from ..plans.markers import retrieve_markers as plan
 from ..plans.orthologs import compare_orthologs, scored_pairs
 from ..streaming.hits import hits_by_day as by_day
@@ -141,8 +142,9 @@ def otu_frequencies(t):
           round(avg(case when length(sequencedata) = 0 then 0 else length(replace(sequencedata, '-', '')) / length(sequencedata) end), 6)::double mean_coverage, bool_or(contains(sequencedata, '-')) gapped from sequences""")
 def alignment_summary(t):
     s = F.col("sequencedata")
+    print_of = F.unhex(F.sha2(s, 256))  # whole texts would be the keys of a shuffle
     return t("sequences").agg(
-        F.countDistinct("otu").alias("otus"), (F.countDistinct(F.length(s)) == 1).alias("equal_length"), (F.countDistinct(s) == F.count(s)).alias("unique_sequences"),
+        F.countDistinct("otu").alias("otus"), F.coalesce(F.min(F.length(s)) == F.max(F.length(s)), F.lit(False)).alias("equal_length"), (F.countDistinct(print_of) == F.count(s)).alias("unique_sequences"),
         F.round(F.avg(seq.covered_fraction(s)), 6).alias("mean_coverage"), F.bool_or(seq.has_gaps(s)).alias("gapped"),
     )
 
@@ -370,9 +372,9 @@ def _whole_numbers(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("int") for c in rows.columns if c in ("pos", "first_pos", "last_pos")})
 
 
-def _won(source: str) -> str:
+def _won(hits: str, markers: str = "markers") -> str:
     """Common table expressions of the winners among the hits of a table."""
-    return _WINNERS.replace("from hits where", f"from {source} where")
+    return _WINNERS.replace("from hits where", f"from {hits} where").replace("from markers where", f"from {markers} where")
 
 
 _WINNERS = r"""
@@ -563,6 +565,12 @@ def overlap_order(t):
     return slices.overlap_order(t("hits"), t("markers"))
 
 
+@query()
+def resolve_by_overlap(t):
+    """Regions of the hits that score best on each stretch, and their score there against the references."""
+    return _whole_numbers(stitch.regions_by_overlap(t("hits"), t("markers")))
+
+
 # ---- alignment and search
 
 @query()
@@ -805,6 +813,18 @@ def retrieve_markers(t):
     return plan(t("hits"), t("markers")).statistics
 
 
+_SPREAD = """spread as (select * replace (case when contains(queryid, '@') then split_part(queryid, '@', 1) else '' end || '|' || subjectid as subjectid), subjectid plain from hits where queryid is not null and subjectid is not null),
+own_markers as (select s.subjectid, sequencedata from markers m join (select distinct subjectid, plain from spread) s on plain = m.subjectid)"""
+
+
+@query(f"""with {_SPREAD}, {_CHOSEN.replace("from hits", "from spread")}, {_won("chosen", "own_markers")}, {_CELLS}
+          select subjectid, n::int reference_len, string_agg(residue, '' order by i) aligned, replace(string_agg(residue, '' order by i), '-', '') residues from kept group by subjectid, n""")
+def species_markers(t):
+    """The whole marker job for the contigs of each species by themselves: stitched sequences."""
+    rows = plan(t("hits"), t("markers"), Settings(by_species=True, nucleotides=False)).sequences
+    return rows.select("subjectid", "reference_len", "aligned", "residues")
+
+
 @query("select date_trunc('day', searched_at) as \"day\", count(*) hits, count(*) filter (where isfinite(bitscore)) usable, max(bitscore) filter (where isfinite(bitscore)) best from hits group by 1")
 def hits_by_day(t):
     """The streaming aggregation over the whole table as one batch."""

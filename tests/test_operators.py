@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from strandloom.functions import identifiers, intervals
 from strandloom.operators import cluster, features, hits, sampling, skew, stats, stitch
 from strandloom.operators.hierarchy import links
 from strandloom.plans.markers import retrieve_markers
-from strandloom.session import build_session
+from strandloom.session import Workspace, build_session, release, shared_folder, sweep
 from strandloom.sources import readers, writers
 
 HITS = (
@@ -230,3 +231,18 @@ def test_identifier_and_place(spark):
     df = spark.createDataFrame([("o", "p", 3), (None, "p", 9), ("", "p", 1)], "o string, p string, n int")
     got = [tuple(r) for r in df.select(identifiers.compose(F.col("o"), F.col("p")).alias("i"), intervals.subject_to_full(F.col("n"), F.lit(5), F.lit(10)).alias("x")).collect()]
     assert got == [("o@p", 7), ("p", None), ("p", 5)]
+
+
+def test_durable_tables_go(spark):
+    ws = Workspace(spark, "first")
+    ws.save(spark.range(3))
+    old, own = ws.root, Workspace(spark, "second")
+    own.save(spark.range(2))
+    from strandloom import session
+
+    session._ROOTS.discard(old)  # as if another process had left it
+    assert sweep(spark, hours=1) == []
+    assert [p.rpartition("/")[2] for p in sweep(spark, hours=-1)] == [old.rpartition("/")[2]]
+    assert own.together(*[t for t, _ in own._saved.values()]).count() == 2
+    release(spark)
+    assert not Path(own.root.removeprefix("file://")).exists() and shared_folder(spark)

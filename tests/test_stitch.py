@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from strandloom.functions import cigar
-from strandloom.functions.alignment import blosum62
+from strandloom.functions.alignment import align_batch, blosum62, lookup
 from strandloom.operators import slices, stitch
 
 SCHEMA = "hit_id bigint, subjectid string, translated_querysequence string, full_querysequence string, querystart int, queryend int, subjectstart int, subjectend int, cigar string, bitscore double, pos string"
@@ -155,3 +155,42 @@ def test_overlaps_scored_anew(spark):
     assert slices.overlap_order(df.limit(0), markers).count() == 0
     query = spark.createDataFrame([("AACCCGGGTT", 3, 8), ("ACG", 1, 3), (None, 1, 2), ("ACG", 2, 9)], "q string, a int, b int")
     assert [r[0] for r in query.select(slices.framed_query(F.col("q"), F.col("a"), F.col("b"))).collect()] == ["CCCGGG", "ACG", None, None]
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_overlaps_by_their_score(spark, monkeypatch, few_heavy, block):
+    """Every stretch with the same hits goes to the best local alignment there; blocks don't matter."""
+    monkeypatch.setattr(stitch, "BLOCK", block)
+    rng, table = random.Random(3), lookup(blosum62())
+    reference = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=60))
+    rows = []
+    for no in range(1, 26):
+        start, size = rng.randint(1, 45), rng.randint(1, 25)
+        text = "".join(rng.choice("ACDEF") if rng.random() < 0.3 else c for c in reference[start - 1 : start - 1 + size])
+        ops, span = f"{len(text)}M", len(text)
+        if rng.random() < 0.4 and len(text) > 6:
+            ops, span = f"3M2D{len(text) - 3}M", len(text) + 2
+        rows.append((no, rng.choice("sst"), text, "", 1, 3, start, start + span - 1, ops, float(rng.randint(1, 4)), ""))
+    markers = spark.createDataFrame([("s", reference)], "subjectid string, sequencedata string")
+    df = spark.createDataFrame([*rows, *rows[:4]], SCHEMA)
+    owner = {}
+    for subject in "st":
+        mine = [r for r in rows if r[1] == subject]
+        edges = sorted({e for r in mine for e in (r[6], r[7] + 1)})
+        for a, b in zip(edges, edges[1:], strict=False):
+            best = []
+            for r in mine:
+                if r[6] <= a and b - 1 <= r[7]:
+                    piece = "".join(c[0] for p, c in sorted(cells(r).items()) if a <= p < b).strip("-")
+                    ref = reference[a - 1 : b - 1] if subject == "s" else ""
+                    best.append((int(align_batch([piece.replace("-", "")], [ref], table, True, 11, 1)[0, 0]), r[9], -r[0]))
+            for p in range(a, b):
+                if best:
+                    owner[subject, p] = -max(best)[2]
+    found = {(r["subjectid"], p): r["hit_id"] for r in stitch.regions_by_overlap(df, markers).collect() for p in range(r["first_pos"], r["last_pos"] + 1)}
+    assert found == owner
+    from strandloom.plans.markers import Settings, retrieve_markers
+
+    hits = df.selectExpr("*", "cast(hit_id as string) as queryid", "1 as queryframe", "'' as subjectsequence", "90.0 as percentidentical")
+    assert retrieve_markers(hits, markers, Settings(by_overlap=True)).sequences.count() == 1
+    assert stitch.regions_by_overlap(df.limit(0), markers).count() == 0
