@@ -14,7 +14,7 @@ from ..session import Workspace
 from .components import connected_components
 from .skew import heavy_keys, lookup_join
 
-#: Links of the largest component that one task walks, in about 200 bytes each.
+#: Links of the largest component that one task walks, in about 500 bytes each.
 COLOCATE_LINKS = 1_000_000
 #: Links that share a task.
 GROUP_LINKS = 20_000

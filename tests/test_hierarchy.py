@@ -108,12 +108,12 @@ def ladder(n):
 
 
 def test_chain_star_and_ladder(spark):
-    rows = [(f"c{i:05}", [f"c{i - 1:05}"] if i else []) for i in range(6000)] + [(f"s{i}", ["s"]) for i in range(1, 60_000)] + [("s", [])] + ladder(13)
+    rows = [(f"c{i:05}", [f"c{i - 1:05}"] if i else []) for i in range(3000)] + [(f"s{i}", ["s"]) for i in range(1, 60_000)] + [("s", [])] + ladder(13)
     nodes, between = links(spark.createDataFrame(rows, "id string, parent array<string>"))
     found = hierarchy_paths(nodes, between, share=8 << 20)
     counts = {r["k"]: (r["n"], r["d"], r["l"]) for r in found.groupBy(F.left("root", F.lit(1)).alias("k")).agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max(F.length("path")).alias("l")).collect()}
-    assert counts == {"c": (6000, 5999, 6000 * 7 - 1), "s": (60_000, 1, 8), "r": (2**14 - 1, 13, counts["r"][2])}
-    assert hierarchy_descendants(nodes, between, share=1 << 20).count() == 6000 * 5999 // 2 + 59_999 + 26 + sum(4 * (12 - i) for i in range(13))
+    assert counts == {"c": (3000, 2999, 3000 * 7 - 1), "s": (60_000, 1, 8), "r": (2**14 - 1, 13, counts["r"][2])}
+    assert hierarchy_descendants(nodes, between, share=1 << 20).count() == 3000 * 2999 // 2 + 59_999 + 26 + sum(4 * (12 - i) for i in range(13))
 
 
 def test_long_chains_beyond_a_task(spark):
