@@ -75,8 +75,7 @@ def hierarchy_descendants(nodes: DataFrame, parent_links: DataFrame, colocate: i
 def _walk(nodes: DataFrame, parent_links: DataFrame, colocate: int, share: int, below: bool) -> DataFrame:
     ws = Workspace(nodes.sparkSession, "hierarchy")
     table = ws.save(parent_links.select("parent", "id"))
-    parts = ws.save(connected_components(table, "parent", "id"))
-    placed, total, largest = _placed(ws, table, parts)
+    placed, total, largest = _placed(ws, table)
     small = placed.filter(F.col("n") <= colocate) if largest > colocate else placed
     found = _shares(ws, small, total, share, below).groupBy("_unit", "_share").applyInArrow(_descend if below else _paths, PAIRS if below else PATHS)
     if largest > colocate:
@@ -84,13 +83,19 @@ def _walk(nodes: DataFrame, parent_links: DataFrame, colocate: int, share: int,
         found = found.unionByName(_spread_descendants(ws, wide) if below else _spread_paths(ws, wide, colocate))
     if below:
         return found
-    alone = nodes.join(parts, F.col("id") == F.col("node"), "left_anti")
+    alone = nodes.join(_ends(table), "id", "left_anti")
     return found.unionByName(alone.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("id").alias("path")))
 
 
-def _placed(ws: Workspace, table: DataFrame, parts: DataFrame) -> tuple[DataFrame, int, int]:
-    """Links with their component and its number of links n; the numbers of links in all and of the largest component."""
-    joined = ws.save(table.join(parts, F.col("id") == F.col("node")).select("parent", "id", "component"))
+def _placed(ws: Workspace, table: DataFrame) -> tuple[DataFrame, int, int]:
+    """Links with their component and its number of links n; the numbers of links in all and of the largest component.
+
+    Components are found on 64-bit hashes of the ids. Two ids with one hash would bring two components together, which
+    changes where they are walked but nothing in the result.
+    """
+    hashed = table.select(F.xxhash64("parent").alias("parent"), F.xxhash64("id").alias("id"))
+    parts = ws.save(connected_components(hashed, "parent", "id"))
+    joined = ws.save(table.withColumn("_h", F.xxhash64("id")).join(parts, F.col("_h") == F.col("node")).select("parent", "id", "component"))
     sizes = ws.save(joined.groupBy("component").agg(F.count("*").alias("n")))
     total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     return lookup_join(joined, sizes, "component", heavy_keys(sizes, "component", total, "n")), total, largest
@@ -99,19 +104,19 @@ def _placed(ws: Workspace, table: DataFrame, parts: DataFrame) -> tuple[DataFram
 def _unit(total: int) -> Column:
     """Components that share a task; one of more than GROUP_LINKS links has its own."""
     bucket = F.pmod(F.xxhash64("component"), F.lit(max(1, total // GROUP_LINKS)))
-    return F.when(F.col("n") > GROUP_LINKS, F.concat(F.lit("c"), "component")).otherwise(F.concat(F.lit("b"), bucket.cast("string")))
+    return F.when(F.col("n") > GROUP_LINKS, F.concat(F.lit("c"), F.col("component").cast("string"))).otherwise(F.concat(F.lit("b"), bucket.cast("string")))
 
 
 def _shares(ws: Workspace, placed: DataFrame, total: int, share: int, below: bool) -> DataFrame:
     """Links with the unit that walks them; those of a component with large results once for each of its shares."""
     units = placed.select(_unit(total).alias("_unit"), "component", "parent", "id", "n")
-    weighed = units.filter(F.col("n") > LIGHT_LINKS).groupBy("_unit").applyInArrow(_weigher(share, below), "component string, shares bigint")
+    weighed = units.filter(F.col("n") > LIGHT_LINKS).groupBy("_unit").applyInArrow(_weigher(share, below), "component bigint, shares bigint")
     heavy = ws.save(weighed)
     one = F.lit(1).cast("bigint")
     if heavy.isEmpty():
         return units.select("_unit", F.lit(0).cast("bigint").alias("_share"), one.alias("_of"), "parent", "id")
     marked = units.join(heavy, "component", "left").withColumn("_of", F.coalesce("shares", one))
-    unit = F.when(F.col("shares").isNull(), F.col("_unit")).otherwise(F.concat(F.lit("c"), "component"))
+    unit = F.when(F.col("shares").isNull(), F.col("_unit")).otherwise(F.concat(F.lit("c"), F.col("component").cast("string")))
     return marked.select(unit.alias("_unit"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_of") - 1)).alias("_share"), "_of", "parent", "id")
 
 
@@ -234,12 +239,12 @@ def _weigher(share: int, below: bool) -> Callable:
                         ways[child] += ways[node]
                         weight[child] += weight[node] + ways[node]
         at = {name: i for i, name in enumerate(graph.names)}
-        home: dict[str, dict[int, None]] = {}
+        home: dict[int, dict[int, None]] = {}
         for c, p, i in zip(component, parents, ids, strict=True):
             home.setdefault(c, {}).update({at[p]: None, at[i]: None})
         sums = {c: sum(weight[n] for n in members) for c, members in home.items()}
         heavy = [(c, -(-w // share)) for c, w in sums.items() if w > share]
-        yield pa.record_batch([pa.array([c for c, _ in heavy], pa.string()), pa.array([k for _, k in heavy], pa.int64())], names=["component", "shares"])
+        yield pa.record_batch([pa.array([c for c, _ in heavy], pa.int64()), pa.array([k for _, k in heavy], pa.int64())], names=["component", "shares"])
 
     return weigh
 
@@ -347,7 +352,7 @@ def cycle_states(ws: Workspace, table: DataFrame, colocate: int = COLOCATE_LINKS
     states of the heads, found in the same way, give those of all nodes. Only where that doesn't shorten a component
     by a tenth, so that nearly every node has several parents, it is peeled level by level and coloured by joins.
     """
-    placed, total, largest = _placed(ws, table, ws.save(connected_components(table, "parent", "id")))
+    placed, total, largest = _placed(ws, table)
     fits = placed.filter(F.col("n") <= colocate) if largest > colocate else placed
     found = ws.save(fits.select(_unit(total).alias("_unit"), "parent", "id").groupBy("_unit").applyInArrow(_colours, STATES))
     if largest <= colocate:
