@@ -24,6 +24,17 @@ def distinct_hits(hits: DataFrame, ignore: tuple[str, ...] = ("hit_id", "loaded_
     return hits.groupBy(*keys).agg(*[F.min(c).alias(c) for c in ignore if c in hits.columns]).select(*hits.columns)
 
 
+def distinct_ids(hits: DataFrame, *keep: str, ignore: tuple[str, ...] = ("hit_id", "loaded_at")) -> DataFrame:
+    """The smallest hit_id of each hit whatever the number of its loads, with some of its columns: hit_id, keep.
+
+    Hits are told apart by 128 bits of hashes of all columns but ``ignore``, so that no sequence is shuffled.
+    """
+    columns = [c for c in hits.columns if c not in ignore]
+    values = [*[F.isnull(c) for c in columns], *columns]
+    rows = hits.select("hit_id", *keep, F.xxhash64(*values).alias("_p"), F.xxhash64(F.lit(1), *values).alias("_q"))
+    return rows.groupBy("_p", "_q").agg(F.min(F.struct("hit_id", *keep)).alias("_h")).select("_h.*")
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in a total order; null keys are a group. Groups are cut down before the shuffle."""
     return top_rows(rows, keys, order, 1)

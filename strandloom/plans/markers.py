@@ -80,18 +80,20 @@ def retrieve_markers(hits: DataFrame, markers: DataFrame, settings: Settings | N
     ws = Workspace(hits.sparkSession, "markers")
     if s.by_species:
         hits, markers = _species(hits, markers)
-    chosen = hit_ops.filter_hits(hit_ops.distinct_hits(hits), s.identity, s.score, s.length, s.query_cover, s.subject_cover, s.evalue, markers)
-    chosen = chosen.filter("subjectstart is not null and subjectend is not null")  # else a hit without a place takes another's turn
+    usable = hit_ops.filter_hits(hits, s.identity, s.score, s.length, s.query_cover, s.subject_cover, s.evalue, markers)
+    usable = usable.filter("subjectstart is not null and subjectend is not null")  # else a hit without a place takes another's turn
+    ranked = hit_ops.distinct_ids(usable, "queryid", "subjectid", "bitscore")
     if s.top_percent:
-        chosen = hit_ops.top_percent(chosen, s.top_percent)
-    chosen = ws.save(hit_ops.best_targets(chosen, s.max_targets, s.max_hsps))
+        ranked = hit_ops.top_percent(ranked, s.top_percent)
+    ranked = ws.save(hit_ops.best_targets(ranked, s.max_targets, s.max_hsps))
+    chosen = ws.save(usable.join(ranked.select("hit_id"), "hit_id", "left_semi"))  # sequences move only now
     owned = stitch.regions_by_overlap(chosen, markers, s.matrix) if s.by_overlap else None
     regions = ws.save(stitch.masked(stitch.resolve_regions(chosen, s.nucleotides, owned), s.retain_stops, s.retain_ambiguous))
     rows = stitch.stitched_on(regions, markers)
     if s.trim:
         rows = stitch.trimmed(rows, s.window, s.least_mean, gap_open=s.gap_open, gap_extend=s.gap_extend, matrix=s.matrix)
     rows = ws.save(rows)
-    table = ws.save(stitch.aligned_statistics(chosen, regions, rows))
+    table = ws.save(stitch.aligned_statistics(ranked, regions, rows))
     numbers = [c for c, kind in table.dtypes if kind != "string"]
     return Markers(
         rows.drop("reference"), table, stats.describe(table, numbers),
