@@ -173,6 +173,17 @@ def test_windows_keep_paths(costs):
     assert alignment.local_paths(a, b, table, *costs) == align_paths(a, b, table, True, *costs)
 
 
+def test_scores_in_8_bits():
+    """Pairs whose scores leave 8 bits are told apart and scored again; all others have their score at once."""
+    table = lookup(blosum62())
+    a, b = drawn_pairs(random.Random(12), 300, 120)
+    best = align_batch(a, b, table, True, 11, 1)[:, 0]
+    short, again = alignment._short_ends(a, b, table, 11, 1)
+    assert again.tolist() == (best > 127 - 11).tolist() and 20 < again.sum() < 280
+    assert short[~again, 0].tolist() == best[~again].tolist()
+    assert alignment.local_ends(a, b, table, 11, 1)[:, 0].tolist() == best.tolist()
+
+
 def test_little_is_traced(monkeypatch):
     """Unrelated pairs are scored whole, but few of their cells are traced."""
     rng, cells = random.Random(8), []
