@@ -207,3 +207,16 @@ def test_words_by_number(spark):
         bitmap = search.word_bitmap(coded.filter("k < 20 or k = 50"))
         some = {r["word"] for r in coded.filter("k < 20 or k = 50").collect()}
         assert sorted(r for r in coded.collect() if r["word"] in some) == sorted(search.coded_words(df, "s", size, masking, bitmap).collect())
+
+
+def test_windows_of_long_pairs():
+    """A comparison aligns only the piece of long texts that their best alignment takes, with the counts of that alignment."""
+    rng = random.Random(21)
+    draw = lambda letters, k: "".join(rng.choices(letters, k=k))
+    core, table = draw("ARNDCQEGHILKMFPSTWYV", 80), lookup(blosum62())
+    a, b = draw("DEKRNQ", 1200) + core + draw("DEKRNQ", 1000), draw("FWYLIV", 900) + core[:40] + core[43:] + draw("FWYLIV", 1400)
+    ((i, ie, j, je),) = alignment.local_windows([a], [b], table, 11, 1)
+    assert ie - i < 200 and je - j < 200
+    found = align_batch([a[i - 1 : ie]], [b[j - 1 : je]], table, True, 11, 1)[0].tolist()
+    score, *places, cigar = align_paths([a], [b], table, True, 11, 1)[0]
+    assert found == [score, *_counts(a, b, places[0], places[2], cigar)]
