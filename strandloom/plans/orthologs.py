@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cig
 from ..functions.alignment import aligned_pair
-from ..operators import hits as hit_ops
 from ..operators import search as search_ops
 from ..operators import stats
 from ..session import Workspace
@@ -41,13 +40,8 @@ def compare_orthologs(queries: DataFrame, markers: DataFrame, nucleotides: bool
     contig is compared in the frame of its hit. Jobs run while the result is built.
     """
     ws = Workspace(queries.sparkSession, "orthologs")
-    found = (search_ops.search if nucleotides else search_ops.protein_search)(queries, markers, **options)
-    best = hit_ops.best_hit_per_subject(found).select("queryid", "subjectid", "frame", "full_querysequence")
-    if nucleotides:
-        frames = search_ops.translated_frames(best.select("subjectid", "full_querysequence"), "subjectid", "full_querysequence")
-        best = best.join(frames, ["subjectid", "frame"]).withColumn("full_querysequence", F.col("protein"))
-    refs = markers.filter("subjectid is not null and sequencedata is not null").groupBy("subjectid").agg(F.min(F.upper(F.translate("sequencedata", "-", ""))).alias("_ref"))
-    table = ws.save(scored_pairs(best.join(refs, "subjectid"), "full_querysequence", "_ref", "queryid", "subjectid"))
+    best = search_ops.best_pairs(queries, markers, nucleotides, **options)
+    table = ws.save(scored_pairs(best, "protein", "reference", "queryid", "subjectid"))
     numbers = [c for c, kind in table.dtypes if kind != "string"]
     return Comparison(
         table, stats.describe(table, numbers), stats.histogram(table, "query_cover", stats.COVERAGE_CLASSES), stats.histogram(table, "percent_identity", stats.IDENTITY_CLASSES)

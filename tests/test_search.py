@@ -220,3 +220,43 @@ def test_windows_of_long_pairs():
     found = align_batch([a[i - 1 : ie]], [b[j - 1 : je]], table, True, 11, 1)[0].tolist()
     score, *places, cigar = align_paths([a], [b], table, True, 11, 1)[0]
     assert found == [score, *_counts(a, b, places[0], places[2], cigar)]
+
+
+@pytest.mark.parametrize("costs", [(11, 1), (1, 1), (3, 2), (2, 0)])
+def test_scores_in_lanes(monkeypatch, costs):
+    """Pairs of shared references have the scores of whole alignments, those that leave 8 bits too."""
+    monkeypatch.setattr(alignment, "SHARED", 3)
+    monkeypatch.setattr(alignment, "LANE_CELLS", 4000)
+    rng, table, a, b = random.Random(17), lookup(blosum62()), [], []
+    texts, references = drawn_pairs(rng, 300, 90)
+    for k, x in enumerate(texts):
+        a += [x, x[10:60], x[:30] + x[35:]]
+        b += [references[k % 20], references[k % 7], texts[k % 9]]
+    best = align_batch(a, b, table, True, *costs)[:, 0]
+    assert (best > 127).sum() > 10 and alignment.scores_of_many(a, b, table, *costs).tolist() == best.tolist()
+
+
+@pytest.mark.parametrize("most", [0, 2])
+def test_comparison_traces_only_best_hits(spark, monkeypatch, most):
+    """The best hit of each reference is that of the search, and the search's hits aren't traced for it."""
+    rng = random.Random(31)
+    references = ["".join(rng.choices("ARNDCQEGHILKMFPSTWYV", k=k)) for k in (90, 120, 70)]
+    pieces = [references[k % 3][k % 40 : k % 40 + 12] + references[(k + 1) % 3][k % 25 : k % 25 + 9] + references[(k + 2) % 3][k % 31 : k % 31 + 8] for k in range(240)]
+    contigs = spark.createDataFrame([(f"q{k}", back_translated("".join(rng.choices("ARNDCQEGHILKMFPSTWYV", k=rng.randint(0, 30))) + t)) for k, t in enumerate(pieces)], "seq_id string, sequencedata string")
+    markers = spark.createDataFrame([(f"m{k}", t) for k, t in enumerate(references)], "subjectid string, sequencedata string")
+    found = search.search(contigs, markers, max_targets=most).collect()
+    want = {s: min((-r["bitscore"], r["hit_id"], r["queryid"]) for r in found if r["subjectid"] == s)[2] for s in ("m0", "m1", "m2")}
+    monkeypatch.setattr(search, "TOGETHER", 90)
+
+    def traced(*_):
+        raise AssertionError("a hit is traced")
+
+    monkeypatch.setattr(search, "aligned_path", traced)
+    assert {r["subjectid"]: r["queryid"] for r in compare_orthologs(contigs, markers, nucleotides=True, max_targets=most).statistics.collect()} == want
+
+
+def test_comparison_keeps_the_genetic_code(spark):
+    contigs = spark.createDataFrame([("q", back_translated("ARNDCQEGHILKMFPSTYV").replace("TGG", "TGA") + "TGATGA" + back_translated("KMFPSTYVAR"))], "seq_id string, sequencedata string")
+    markers = spark.createDataFrame([("m", "ARNDCQEGHILKMFPSTYVWWKMFPSTYVAR")], "subjectid string, sequencedata string")
+    row = compare_orthologs(contigs, markers, nucleotides=True, code=genetic_code(2), frames=(1,)).statistics.first()
+    assert (row["matches"], row["mismatches"]) == (31, 0)
