@@ -119,3 +119,18 @@ def test_comparison_without_a_table_of_pairs(spark, monkeypatch, most):
     monkeypatch.setattr(blocks, "LETTERS", 1000)
     found = compare_orthologs(contigs, markers, nucleotides=True, max_targets=most).statistics.filter(F.col("matches") > 0).collect()
     assert {r["subjectid"]: r["queryid"] for r in found} == best and len(best) > 20
+
+
+def without_pairs(monkeypatch):
+    def scored(*_):
+        raise AssertionError("a table of pairs is made")
+
+    monkeypatch.setattr(search, "_scored", scored)
+
+
+def test_hits_without_a_table_of_pairs(spark, monkeypatch):
+    """Contigs meet the references where they are; before, pairs were shuffled with the texts of both sides, twice."""
+    contigs, markers = tables(spark, 5)
+    want = sorted(map(repr, by_pairs(contigs, markers, max_targets=3).collect()))
+    without_pairs(monkeypatch)
+    assert sorted(map(repr, search.search(contigs, markers, max_targets=3).collect())) == want
