@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import native
 from strandloom.functions.alignment import _counts, align_paths, blosum62, lookup
 from strandloom.operators import blocks, search
+from strandloom.plans.markers import retrieve_markers
 from strandloom.plans.orthologs import compare_orthologs
 
 ACIDS = "ARNDCQEGHILKMFPSTWYV"
@@ -134,3 +135,12 @@ def test_hits_without_a_table_of_pairs(spark, monkeypatch):
     want = sorted(map(repr, by_pairs(contigs, markers, max_targets=3).collect()))
     without_pairs(monkeypatch)
     assert sorted(map(repr, search.search(contigs, markers, max_targets=3).collect())) == want
+
+
+def test_markers_of_searched_hits(spark, monkeypatch):
+    """The marker job over a search's hits gives the same statistics, without a table of pairs."""
+    contigs, markers = tables(spark, 6)
+    want = sorted(map(repr, retrieve_markers(by_pairs(contigs, markers), markers).statistics.collect()))
+    without_pairs(monkeypatch)
+    found = sorted(map(repr, retrieve_markers(search.search(contigs, markers), markers).statistics.collect()))
+    assert found == want and len(found) > 20
